@@ -20,6 +20,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For words of letters and digits only: all other ASCII separates.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -133,12 +135,12 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(raw + (ends - starts).astype(np.uint64) * _M2)
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words split at blanks and controls 9-13, never across rows: starts, ends, and each row's first word."""
+def words(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words split at the bytes marked in blank, never across rows: starts, ends, and each row's first word."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    word = ~SPACE[buf]
+    word = ~blank[buf]
     start = word.copy()
     start[1:] &= ~word[:-1]
     first = offsets[:-1][offsets[:-1] < n]

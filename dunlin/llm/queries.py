@@ -11,14 +11,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.quality import held_out, score_documents, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dunlin.llm.bpe import encode_documents
 
     return encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    made = (op1_quality, op3_bpe, op6_pii, op7_urls, op8_html, op10_minhash)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
