@@ -25,6 +25,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.decontaminate import hits
+
+    return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dunlin.llm.pii import pseudonymise
 
@@ -50,7 +56,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op3_bpe, op6_pii, op7_urls, op8_html, op10_minhash)
+    made = (op1_quality, op3_bpe, op4_decontaminate, op6_pii, op7_urls, op8_html, op10_minhash)
     return {f.__name__: f for f in made}
 
 
