@@ -19,6 +19,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dunlin.llm.bpe import encode_documents
 
@@ -56,7 +62,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op3_bpe, op4_decontaminate, op6_pii, op7_urls, op8_html, op10_minhash)
+    made = (op1_quality, op2_embeddings, op3_bpe, op4_decontaminate, op6_pii, op7_urls, op8_html, op10_minhash)
     return {f.__name__: f for f in made}
 
 
