@@ -35,7 +35,7 @@ MANTISSA = 10
 SMALL = 64
 #: Candidates with a lower estimate are no links: over six standard deviations at 0.8.
 LEAST, LEAST_SMALL = 0.62, 0.4
-BLOCK = 512
+BLOCK = 256
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = np.stack([np.random.default_rng(k).permutation(REGISTERS) for k in range(REGISTERS)])
@@ -152,35 +152,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return wide.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _in_blocks(groups: DataFrame, percent: int) -> DataFrame:
-    """Promising pairs within groups (leader, id, n, regs, linked, size), but for those both linked to the leader.
+def _in_blocks(groups: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that join what is not yet joined within groups (leader, id, n, regs, text, linked, size).
 
-    A group's members are dealt into blocks of about BLOCK rows; each two blocks meet in one task.
+    A group's members are dealt into blocks of about BLOCK rows and each two blocks meet in one task, which
+    checks promising pairs on the full sets, best first, unless they are joined already. So a task gives
+    fewer rows than it gets, whatever the number of pairs.
     """
     kind = groups.schema["id"].dataType.simpleString()
     many = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = groups.withColumn("own", F.pmod(F.xxhash64("id"), many).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), many - 1)))
-    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "regs", "linked")
+    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "regs", "text", "linked")
 
     def meet(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         n, linked, own = (t.column(c).to_numpy() for c in ("n", "linked", "own"))
-        same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
-        left = np.arange(len(n)) if same else np.flatnonzero(own == t.column("i")[0].as_py())
-        right = left if same else np.flatnonzero(own != t.column("i")[0].as_py())
-        xs, ys = [], []
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        left = np.flatnonzero(own == i)
+        right = left if i == j else np.flatnonzero(own == j)
+        xs, ys, es = [], [], []
         for x in left:
-            ys_ = right[right > x] if same else right
-            small, large = np.minimum(n[ys_], n[x]), np.maximum(n[ys_], n[x])
-            ys_ = ys_[(100 * small >= percent * large) & ~(linked[ys_] & linked[x])]
-            if len(ys_):
-                est = estimate((regs[ys_] == regs[x]).mean(1))
-                ys_ = ys_[est >= np.where(np.minimum(n[ys_], n[x]) < SMALL, LEAST_SMALL, LEAST)]
-                xs += [x] * len(ys_)
-                ys += ys_.tolist()
+            y = right[right > x] if i == j else right
+            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & ~(linked[y] & linked[x])]
+            if len(y):
+                est = estimate((regs[y] == regs[x]).mean(1))
+                ok = est >= np.where(np.minimum(n[y], n[x]) < SMALL, LEAST_SMALL, LEAST)
+                xs.append(np.full(int(ok.sum()), x))
+                ys.append(y[ok])
+                es.append(est[ok])
+        a, b = [], []
+        if xs:
+            xs, ys, es = map(np.concatenate, (xs, ys, es))
+            top = list(range(len(n)))
+
+            def find(v: int) -> int:
+                while top[v] != v:
+                    top[v] = top[top[v]]
+                    v = top[v]
+                return v
+
+            joined = np.flatnonzero(linked)
+            for v in joined[1:].tolist():
+                top[v] = int(joined[0])
+            sets: dict[int, np.ndarray] = {}
+            texts = t.column("text").chunk(0)
+            for x, y in zip(xs[(order := np.argsort(-es, kind="stable"))].tolist(), ys[order].tolist()):
+                u, v = find(x), find(y)
+                if u == v:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = shingle_sets(*utf8(texts.slice(k, 1)), size)[0]
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                    top[u] = v
+                    a.append(x)
+                    b.append(y)
         ids = t.column("id")
-        return pa.table({"a": ids.take(pa.array(xs, pa.int64())), "b": ids.take(pa.array(ys, pa.int64()))})
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return dealt.groupBy("leader", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
@@ -208,14 +238,14 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     first = first.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
     first = materialize(_promising(first, percent), "pairs")
     needed = groups.select("id").union(groups.select("leader")).distinct()
-    texts = materialize(source.join(needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # merged at every size, so that the plan does not change with the number of candidates
+    texts = materialize(source.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     linked = materialize(_verified(first, texts, size, percent), "linked")
 
     state = groups.join(linked.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("linked")), ["leader", "id"], "left").na.fill({"linked": False})
     open_ = state.groupBy("leader").agg(F.count("*").alias("size"), F.min(F.col("linked").cast("int")).alias("all")).where("all = 0 and size > 1").select("leader", "size")
-    rest = state.join(open_, "leader").join(own, "id")
-    second = materialize(_in_blocks(rest, percent).distinct(), "pairs2")
-    more = _verified(second, texts, size, percent)
+    rest = state.join(open_, "leader").join(own, "id").join(texts, "id")
+    more = _in_blocks(rest, size, percent)
     found = components(linked.union(more), "near")
     discard(members)
 
