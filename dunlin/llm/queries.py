@@ -37,6 +37,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dunlin.llm.pii import pseudonymise
 
@@ -62,7 +68,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_embeddings, op3_bpe, op4_decontaminate, op6_pii, op7_urls, op8_html, op10_minhash)
+    made = (op1_quality, op2_embeddings, op3_bpe, op4_decontaminate, op5_substrings, op6_pii, op7_urls, op8_html, op10_minhash)
     return {f.__name__: f for f in made}
 
 
