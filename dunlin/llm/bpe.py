@@ -201,22 +201,18 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
         bpe = loaded(path)
         for whole in batches:
             for batch in text_slices(whole, text_col):
-                counts, a, b = [], [], []
-                for text in batch.column(text_col).to_pylist():
-                    packed = bpe.packed(text)
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    decoded = bpe.decoded(ids)
-                    counts.append(len(ids))
-                    if digests:
-                        a.append(hashlib.sha256(packed).hexdigest())
-                        b.append(hashlib.sha256(decoded).hexdigest())
-                    else:
-                        a.append(ids)
-                        b.append(decoded.decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(id_col), pa.array(counts, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string())],
-                    names=[id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))],
-                )
+                packed = [bpe.packed(text) for text in batch.column(text_col).to_pylist()]
+                ids = [np.frombuffer(p, "<u4") for p in packed]
+                decoded = [bpe.decoded(i.tolist()) for i in ids]
+                counts = np.array([len(i) for i in ids], np.int64)
+                if digests:
+                    made = [pa.array([hashlib.sha256(x).hexdigest() for x in c], pa.string()) for c in (packed, decoded)]
+                else:
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    flat = pa.array(np.concatenate(ids).astype(np.int32))
+                    made = [pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d.decode("utf-8", "replace") for d in decoded], pa.string())]
+                names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("token_ids", "decoded"))]
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(counts), *made], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "token_ids array<int>, decoded string"

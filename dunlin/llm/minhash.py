@@ -253,3 +253,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     out = drawn.select("id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
     whole = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(whole, "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def first_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, without those that are linked with a smaller id."""
+    spare = near_duplicates(docs, size, percent, id_col).where("not kept").select(id_col).distinct()
+    return docs.join(spare.hint("merge"), id_col, "left_anti").select(*(docs[c] for c in docs.columns))

@@ -237,3 +237,14 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", thres
     cols = dict.fromkeys((id_col, *keep, "text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return docs.select(*cols).mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is at least `least`; a narrow map, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                yield batch.filter(pa.array(model.score(line_features(*utf8(batch.column("text")))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -61,6 +61,12 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dunlin.llm.chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dunlin.llm.minhash import near_duplicates
 
@@ -68,7 +74,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_quality, op2_embeddings, op3_bpe, op4_decontaminate, op5_substrings, op6_pii, op7_urls, op8_html, op10_minhash)
+    made = (op1_quality, op2_embeddings, op3_bpe, op4_decontaminate, op5_substrings, op6_pii, op7_urls, op8_html, op9_chat, op10_minhash)
     return {f.__name__: f for f in made}
 
 
