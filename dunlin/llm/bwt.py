@@ -17,9 +17,13 @@ _BLOCK = 64
 
 
 class Columns:
-    """The collection's columns as sequential files: symbol before, common prefix with the row above, suffix."""
+    """The collection's columns as sequential files: symbol before, common prefix with the row above, suffix.
 
-    KINDS = (np.uint8, np.uint8, np.int64)
+    Files stay in memory up to MEMORY bytes each and then lie on the worker's own disk.
+    """
+
+    KINDS = (np.uint8, np.uint8, np.int32)
+    MEMORY = 16 << 20
 
     def __init__(self, folder: str | None = None):
         self.folder, self.files = folder, []
@@ -27,8 +31,8 @@ class Columns:
     def write(self, *arrays: np.ndarray) -> None:
         new = []
         for a, kind in zip(arrays, self.KINDS):
-            f = tempfile.TemporaryFile(dir=self.folder)
-            a.astype(kind, copy=False).tofile(f)
+            f = tempfile.SpooledTemporaryFile(self.MEMORY, dir=self.folder)
+            f.write(memoryview(np.ascontiguousarray(a, kind)))
             new.append(f)
         self.close()
         self.files = new
@@ -37,7 +41,7 @@ class Columns:
         out = []
         for f, kind in zip(self.files, self.KINDS):
             f.seek(0)
-            out.append(np.fromfile(f, kind))
+            out.append(np.frombuffer(f.read(), kind))
         return out
 
     def close(self) -> None:
@@ -84,9 +88,11 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
 def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of every window of `width` bytes; equal classes mean equal bytes.
 
-    Strings must be shorter than 255 bytes and hold any bytes; the end of a string equals nothing.
+    Strings must be shorter than 128 bytes; the end of a string equals nothing.
     """
     m = len(strings)
+    if m >= 1 << 24:
+        raise ValueError("too many strings")
     size = np.array([len(s) for s in strings], np.int64)
     buf = np.frombuffer(b"".join(strings), np.uint8)
     end = np.cumsum(size)
@@ -99,7 +105,7 @@ def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -
     text = code[buf]
     columns = Columns(folder)
     owner = np.arange(m, dtype=np.int64)
-    columns.write(np.where(size > 0, text[np.maximum(end - 1, 0)] if len(text) else 0, 0), np.zeros(m, np.uint8), owner << 8)
+    columns.write(np.where(size > 0, text[np.maximum(end - 1, 0)] if len(text) else 0, 0), np.zeros(m, np.uint8), owner << 7)
     place = np.arange(m)  # of each string's last inserted suffix
     for j in range(1, int(size.max(initial=0)) + 1):
         before, prefix, suffix = columns.read()
@@ -108,7 +114,7 @@ def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -
         # a stable sort of the symbols gives each occurrence's rank behind the end marks
         order = np.argsort(before, kind="stable")
         marks = int(np.searchsorted(before[order], 1))
-        rank = np.empty(len(before), np.int64)
+        rank = np.empty(len(before), np.int64)  # each row's place among all symbols
         rank[order] = np.arange(len(before))
         target = m + rank[p] - marks
         # neighbours among the occurrences of the same symbol
@@ -125,10 +131,11 @@ def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -
         fresh = np.zeros(n, bool)
         fresh[target] = True
         left = size[active] - j
-        new_before, new_prefix, new_suffix = np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n, np.int64)
-        new_before[~fresh], new_prefix[~fresh], new_suffix[~fresh] = before, prefix, suffix
+        new_before, new_prefix, new_suffix = np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n, np.int32)
+        kept = np.flatnonzero(~fresh)
+        new_before[kept], new_prefix[kept], new_suffix[kept] = before, prefix, suffix
         new_before[target] = np.where(left > 0, text[np.maximum(end[active] - j - 1, 0)], 0)
-        new_prefix[target], new_suffix[target] = up, active << 8 | j
+        new_prefix[target], new_suffix[target] = up, active << 7 | j
         inside = target + 1 < n
         new_prefix[target[inside] + 1] = np.where(fresh[target[inside] + 1], new_prefix[target[inside] + 1], down[inside])
         place[active] = target
@@ -136,7 +143,7 @@ def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -
         columns.write(new_before, new_prefix, new_suffix)
     _, prefix, suffix = columns.read()
     columns.close()
-    which, length = suffix >> 8, suffix & 255
+    which, length = (suffix >> 7).astype(np.int64), (suffix & 127).astype(np.int64)
     group = np.cumsum(prefix < width)
     long = length >= width
     which, start, group = which[long], size[which[long]] - length[long], group[long]

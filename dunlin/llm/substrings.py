@@ -12,7 +12,8 @@ suffixes in order and finds the equal strings. An anchor with very many differen
 the strings themselves, each aggregated to its smallest id.
 
 Texts are their UTF-8 bytes; null counts as empty. Rows with a null id neither lose bytes nor make others
-lose any; rows that share an id do not take from each other. Matches never cross documents.
+lose any; rows that share an id do not take from each other. Pieces count as equal when their 64-bit
+hashes are. Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.bwt import equal_windows
-from dunlin.llm.common import discard, materialize, mix, powers, release, text_slices, utf8
+from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, release, span_hashes, text_slices, utf8
 
 WIDTH, GRAM = 50, 20
 #: Bytes of one step of the anchor search; longer documents take several, which overlap by a string.
@@ -78,22 +79,17 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, id): the anchors of every document, each once, one row of Python's for a document."""
+    """(id, hs): the anchors of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 row, _, _, h = pieces(*utf8(batch.column("text")))
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                row, h = row[once], h[once]
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "hs"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, hs array<bigint>")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, hs array<bigint>")
 
 
 def _cut(wanted: DataFrame) -> DataFrame:
@@ -112,95 +108,93 @@ def _cut(wanted: DataFrame) -> DataFrame:
                 row, start, end, h = row[ok], start[ok], end[ok], h[ok]
                 raw = buf.tobytes()
                 texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
-                s = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(s), pa.array(texts, pa.binary()), batch.column("id").take(take), batch.column("key").take(take), pa.array((start - offsets[row]).astype(np.int64))],
+                    [pa.array(h.view(np.int64)), pa.array(span_hashes(buf, start, end).view(np.int64)), pa.array(texts, pa.binary()), batch.column("id").take(take), batch.column("key").take(take), pa.array((start - offsets[row]).astype(np.int64))],
                     names=["h", "s", "piece", "id", "key", "start"],
                 )
 
     kind = wanted.schema["id"].dataType.simpleString()
-    return wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, s bigint, piece binary, id {kind}, key bigint, start bigint")
+    return wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, s bigint, piece binary, id {kind}, key int, start bigint")
 
 
 def _ordered(distinct: DataFrame, shards: int) -> DataFrame:
-    """(h, s, runs): for each different piece the runs of its strings with their smallest ids."""
+    """(s, offset, length, least): the runs of the pieces' strings with their smallest ids; several pieces an anchor."""
     kind = distinct.schema["id"].dataType.simpleString()
 
     def order(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        h, s, ids = (t.column(c).to_numpy() for c in ("h", "s", "id"))
-        texts = t.column("piece").to_pylist()
-        size = np.array([len(x) for x in texts])
-        _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-        many = np.flatnonzero(count[inverse] > 1)
-        alone = np.flatnonzero(count[inverse] == 1)
-        rows = [alone]
-        offs, lens, mins = [np.zeros(len(alone), np.int64)], [size[alone] - WIDTH + 1], [ids[alone]]
-        if len(many):
-            which, start, group = equal_windows([texts[k] for k in many], WIDTH)
-            owner = many[which]
-            bound = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            best = np.minimum.reduceat(ids[owner], bound)
-            low = np.repeat(best, np.diff(np.append(bound, len(group))))
-            o = np.lexsort((start, owner))
-            owner, start, low = owner[o], start[o], low[o]
-            edge = np.append(True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1))
-            at = np.flatnonzero(edge)
-            rows.append(owner[at])
-            offs.append(start[at])
-            lens.append(np.diff(np.append(at, len(edge))))
-            mins.append(low[at])
-        r, a, n, m = map(np.concatenate, (rows, offs, lens, mins))
-        return pa.table({"h": pa.array(h[r]), "s": pa.array(s[r]), "offset": pa.array(a.astype(np.int32)), "length": pa.array(n.astype(np.int32)), "least": pa.array(m)})
-
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(order, f"h bigint, s bigint, offset int, length int, least {kind}")
+        s, ids = t.column("s").to_numpy(), t.column("id").to_numpy()
+        owner, start, group = equal_windows(t.column("piece").to_pylist(), WIDTH)
+        bound = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        low = np.repeat(np.minimum.reduceat(ids[owner], bound), np.diff(np.append(bound, len(group))))
+        o = np.lexsort((start, owner))
+        owner, start, low = owner[o], start[o], low[o]
+        edge = np.append(True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1))
+        at = np.flatnonzero(edge)
+        length = np.diff(np.append(at, len(edge)))
+        return pa.table({"s": pa.array(s[owner[at]]), "offset": pa.array(start[at].astype(np.int32)), "length": pa.array(length.astype(np.int32)), "least": pa.array(low[at])})
+
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "s", "piece", "id")
+    return dealt.groupBy("shard").applyInArrow(order, f"s bigint, offset int, length int, least {kind}")
 
 
 def _windows(pieces_: DataFrame) -> DataFrame:
-    """The strings of pieces, each as a piece of its own under the hashes of its bytes."""
+    """The strings of pieces, each as a piece of its own under a hash of its bytes."""
     at = F.explode(F.sequence(F.lit(0), F.length("piece") - WIDTH))
     out = pieces_.select("id", "key", "start", "piece", at.alias("o")).withColumn("piece", F.expr(f"substring(piece, o + 1, {WIDTH})"))
-    return out.select(F.xxhash64("piece").alias("h"), F.xxhash64(F.lit(1), "piece").alias("s"), "piece", "id", "key", (F.col("start") + F.col("o")).alias("start"))
+    return out.select(F.xxhash64(F.lit("string"), "piece").alias("s"), "piece", "id", "key", (F.col("start") + F.col("o")).alias("start"))
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans): the starts and ends of the strings that go, for rows (id, key, text) that lose any."""
+    """(id, key, spans): the starts and ends of the strings that go, for rows (id, key, text) that lose any.
+
+    A hash join is asked for where one side is much larger than the other, which saves sorting it; each
+    step is written and its shuffle files let go before the next.
+    """
     spark = docs.sparkSession
     docs = docs.where("id is not null and text is not null")
-    each = _anchors(docs.select("id", "text")).select("id", F.explode("hs").alias("h"))
-    shared = materialize(each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h"), "anchors")
-    del each
+    anchors = materialize(_anchors(docs), "anchors", "lz4")
+    each = anchors.select("id", F.explode("hs").alias("h"))
+    shared = materialize(each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h"), "shared")
     release(spark)
-    each = _anchors(docs.select("id", "text")).select("id", F.explode("hs").alias("h"))
-    wanted = materialize(each.join(shared, "h").groupBy("id").agg(F.collect_set("h").alias("hs")), "wanted")  # a document's own anchors at most
+    wanted = each.join(shared.hint("shuffle_hash"), "h").groupBy("id").agg(F.collect_set("h").alias("hs"))  # of one document
+    wanted = materialize(wanted, "wanted", "lz4")
+    discard(anchors)
     discard(shared)
-    del each
     release(spark)
-    cut = materialize(_cut(docs.join(wanted.hint("merge"), "id")), "pieces")
+    cut = materialize(_cut(docs.join(wanted.hint("shuffle_hash"), "id")), "pieces")
+    discard(wanted)
     release(spark)
     distinct = materialize(cut.groupBy("h", "s", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "distinct")
-    per = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b"))
+    release(spark)
+    per = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b"), F.max(F.length("piece")).alias("size"), F.max("s").alias("s"))
     counts = materialize(per.where("a < b"), "counts")
-    usual, hot = counts.where(f"n <= {PIECES_MOST}").select("h"), counts.where(f"n > {PIECES_MOST}").select("h")
-    rows = distinct.count()
-    few = _ordered(distinct.select("h", "s", "piece", "id").join(usual, "h"), max(rows // SHARD, 1))
-    split = _windows(cut.join(hot, "h"))
-    single = split.groupBy("h", "s", "piece").agg(F.min("id").alias("least"))
-    single = single.select("h", "s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
-    runs = materialize(few.union(single), "runs")
+    single = counts.where("n = 1").select("s", F.lit(0).alias("offset"), (F.col("size") - (WIDTH - 1)).alias("length"), F.col("a").alias("least"))
+    several, hot = counts.where(f"n between 2 and {PIECES_MOST}"), counts.where(f"n > {PIECES_MOST}").select("h")
+    rows = several.agg(F.sum("n")).first()[0] or 0
+    few = _ordered(distinct.select("h", "s", "piece", "id").join(several.select("h").hint("shuffle_hash"), "h"), max(rows // SHARD, 1))
+    split = _windows(cut.join(hot.hint("shuffle_hash"), "h"))
+    strings = split.groupBy("s", "piece").agg(F.min("id").alias("least")).select("s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
+    runs = materialize(single.union(few).union(strings), "runs")
+    discard(distinct)
+    release(spark)
+    where = cut.select("s", "id", "key", "start").union(split.select("s", "id", "key", "start"))
+    begin = F.col("start") + F.col("offset")
+    hits = where.join(runs.hint("shuffle_hash"), "s").where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
+    spans = materialize(hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
+    discard(cut)
+    discard(runs)
     release(spark)
-    where = cut.select("h", "s", "id", "key", "start").union(split.select("h", "s", "id", "key", "start"))
-    hits = where.join(runs, ["h", "s"]).where("least < id").select("key", "id", (F.col("start") + F.col("offset")).alias("a"), (F.col("start") + F.col("offset") + F.col("length") + WIDTH - 1).alias("b"))
-    return hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # of one document
+    return spans
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the remaining bytes (kept), or their SHA-256 (kept_sha256), of every row."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64("text").alias("key"), "text")
-    spans = materialize(removed_spans(source), "spans")
-    release(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    # rows that share an id are told apart by a short hash of their texts
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.hash("text").alias("key"), "text")
+    spans = removed_spans(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -231,5 +225,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", digests: bool = Fals
 
     last = "kept_sha256" if digests else "kept"
     kind = source.schema["id"].dataType.simpleString()
-    joined = source.join(spans.hint("merge"), ["id", "key"], "left").select("id", "text", "spans")
+    joined = source.join(spans.hint("shuffle_hash"), ["id", "key"], "left").select("id", "text", "spans")
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if digests else 'binary'}")
