@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import LOWER, components, discard, materialize, mix, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, bounded_batches, components, discard, materialize, mix, span_hashes, text_slices, utf8, words
 
 WORDS = 5
 PERCENT = 80
@@ -220,8 +220,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
 
     Rows that share an id are one document if their texts are equal; a null id is its own component.
     """
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), "text")
-    drawn = materialize(sketches(source, size, "id"), "sketch")
+    drawn = materialize(sketches(source, size, "id"), "sketch", "lz4")
     sets = materialize(drawn.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets")
 
     width = 2 * ROWS
