@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from dunlin.llm.common import text_slices
+from dunlin.llm.common import bounded_batches, text_slices
 
 #: Words kept with their tokens by a worker.
 CACHE_WORDS = 1_000_000
@@ -195,6 +195,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
 
     Rows keep their count: a repeated id gives a row each time. A narrow map: no shuffle.
     """
+    bounded_batches(docs.sparkSession)
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dunlin.llm.common import LOWER, PUNCTUATION, mix, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, PUNCTUATION, bounded_batches, mix, span_hashes, text_slices, utf8, words
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -178,6 +178,7 @@ def hashed_words(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.n
 
 def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """id, item id, score, question_overlap and answer_overlap: a row for each verified pair of row and item, with its best passage."""
+    bounded_batches(docs.sparkSession)
     indexes = test_set(benchmark, item_col)
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
 
@@ -204,6 +205,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, all columns, that hold no item of the test set; a narrow map, no shuffle."""
+    bounded_batches(docs.sparkSession)
     indexes = test_set(benchmark, benchmark.columns[0] if "item_id" not in benchmark.columns else "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

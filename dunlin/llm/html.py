@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from dunlin.llm.common import text_slices
+from dunlin.llm.common import bounded_batches, text_slices
 
 # Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,5 +250,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 texts = [extract(h) for h in batch.column(html_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[id_col, "url", "text", "n_chars"])
 
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     return pages.select(id_col, "url", html_col).mapInArrow(run, f"`{id_col}` {kind}, url string, text string, n_chars bigint")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import LOWER, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, bounded_batches, span_hashes, text_slices, utf8, words
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 TRAIN_ROWS = 2000
@@ -205,6 +205,7 @@ def held_out(id_col: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
     """A model from at most `rows` labelled rows that are not held out."""
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows)
     picked = docs.select(id_col, "text").join(F.broadcast(chosen), id_col)  # at most `rows` short rows
@@ -234,6 +235,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", thres
                 s = model.score(line_features(*utf8(batch.column("text"))))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *keep)), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, *keep, "score", "predicted"])
 
+    bounded_batches(docs.sparkSession)
     cols = dict.fromkeys((id_col, *keep, "text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return docs.select(*cols).mapInArrow(run, f"{kinds}, score double, predicted int")
@@ -247,4 +249,5 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
             for batch in text_slices(whole, "text"):
                 yield batch.filter(pa.array(model.score(line_features(*utf8(batch.column("text")))) >= least))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
