@@ -22,7 +22,7 @@ class Columns:
     Files stay in memory up to MEMORY bytes each and then lie on the worker's own disk.
     """
 
-    KINDS = (np.uint8, np.uint8, np.int32)
+    KINDS = (np.int32, np.uint8, np.int32)
     MEMORY = 16 << 20
 
     def __init__(self, folder: str | None = None):
@@ -85,40 +85,89 @@ def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarr
     return out
 
 
-def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_order(values: np.ndarray, bits: int) -> np.ndarray:
+    """A stable sort's order of integers below 2**bits, sixteen bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, bits, 16):
+        digit = ((values >> shift) & 0xFFFF).astype(np.uint16)
+        order = order[np.argsort(digit[order], kind="stable")]
+    return order
+
+
+def ranks(values: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
+    """Each value's rank among the different ones, from 1, and their number."""
+    order = sorted_order(values, bits)
+    v = values[order]
+    fresh = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out, int(fresh.sum())
+
+
+def block_codes(buf: np.ndarray, block: int) -> tuple[np.ndarray, int]:
+    """A code for the `block` bytes from each place on, equal for equal bytes only; the end counts as zeros."""
+    wide = np.concatenate([buf, np.zeros(block, np.uint8)])
+    n = len(buf)
+    code, bits, have = np.zeros(n, np.int64), 0, 0
+    while have < block:
+        take = min(block - have, 4)
+        part = np.zeros(n, np.int64)
+        for k in range(take):
+            part = part << 8 | wide[have + k : have + k + n]
+        code, count = ranks(code << (8 * take) | part, bits + 8 * take)
+        bits, have = max(count.bit_length(), 1), have + take
+    return code, bits
+
+
+def equal_windows(strings: list[bytes], width: int, block: int = 1, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of every window of `width` bytes; equal classes mean equal bytes.
 
-    Strings must be shorter than 128 bytes; the end of a string equals nothing.
+    A symbol is a block of bytes, of which a window holds a whole number; a string takes part once for each
+    offset at which blocks may begin, so a larger block means fewer rounds over as many suffixes. Strings
+    may have at most 127 symbols. The end of a string equals nothing.
     """
-    m = len(strings)
-    if m >= 1 << 24:
-        raise ValueError("too many strings")
+    if width % block:
+        raise ValueError("a window must be made of whole blocks")
     size = np.array([len(s) for s in strings], np.int64)
     buf = np.frombuffer(b"".join(strings), np.uint8)
+    begin = np.cumsum(size) - size
+    offsets = np.maximum(np.minimum(size - width + 1, block), 0)
+    owner = np.repeat(np.arange(len(strings)), offsets)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(offsets) - offsets, offsets)
+    symbols = (size[owner] - offset) // block
+    if len(symbols) and (symbols.max() > 127 or len(owner) >= 1 << 24):
+        raise ValueError("too long or too many strings")
+    code, bits = block_codes(buf, block)
+    at = np.repeat(begin[owner] + offset, symbols) + block * (np.arange(int(symbols.sum())) - np.repeat(np.cumsum(symbols) - symbols, symbols))
+    which, start, group = equal_runs(code[at].astype(np.int32), symbols, width // block, bits, folder)
+    return owner[which], offset[which] + block * start, group
+
+
+def equal_runs(text: np.ndarray, size: np.ndarray, width: int, bits: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, class) of the runs of `width` symbols in strings of the given sizes, laid end to end in text.
+
+    Symbols are 1 and more, below 2**bits; 0 marks ends. This is the column-wise construction.
+    """
+    m = len(size)
+    if not m:
+        z = np.zeros(0, np.int64)
+        return z, z, z
     end = np.cumsum(size)
-    # bytes become 1 .. 255, in order of what occurs; 0 is the end mark
-    code = np.zeros(256, np.uint8)
-    present = np.unique(buf)
-    if len(present) > 255:
-        raise ValueError("more than 255 different bytes")
-    code[present] = np.arange(1, len(present) + 1)
-    text = code[buf]
     columns = Columns(folder)
-    owner = np.arange(m, dtype=np.int64)
-    columns.write(np.where(size > 0, text[np.maximum(end - 1, 0)] if len(text) else 0, 0), np.zeros(m, np.uint8), owner << 7)
+    columns.write(np.where(size > 0, text[np.maximum(end - 1, 0)] if len(text) else 0, 0), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) << 7)
     place = np.arange(m)  # of each string's last inserted suffix
-    for j in range(1, int(size.max(initial=0)) + 1):
+    for j in range(1, int(size.max()) + 1):
         before, prefix, suffix = columns.read()
         active = np.flatnonzero(size >= j)
         p = place[active]
         # a stable sort of the symbols gives each occurrence's rank behind the end marks
-        order = np.argsort(before, kind="stable")
-        marks = int(np.searchsorted(before[order], 1))
-        rank = np.empty(len(before), np.int64)  # each row's place among all symbols
+        order = sorted_order(before, bits)
+        marks = int(np.count_nonzero(before == 0))
+        rank = np.empty(len(before), np.int64)
         rank[order] = np.arange(len(before))
-        target = m + rank[p] - marks
-        # neighbours among the occurrences of the same symbol
         r = rank[p]
+        target = m + r - marks
+        # neighbours among the occurrences of the same symbol
         above, below = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(order) - 1)]
         has_above = (r > 0) & (before[above] == before[p])
         has_below = (r + 1 < len(order)) & (before[below] == before[p])
@@ -130,21 +179,19 @@ def equal_windows(strings: list[bytes], width: int, folder: str | None = None) -
         n = len(before) + len(active)
         fresh = np.zeros(n, bool)
         fresh[target] = True
-        left = size[active] - j
-        new_before, new_prefix, new_suffix = np.empty(n, np.uint8), np.empty(n, np.uint8), np.empty(n, np.int32)
         kept = np.flatnonzero(~fresh)
+        left = size[active] - j
+        new_before, new_prefix, new_suffix = np.empty(n, np.int32), np.empty(n, np.uint8), np.empty(n, np.int32)
         new_before[kept], new_prefix[kept], new_suffix[kept] = before, prefix, suffix
         new_before[target] = np.where(left > 0, text[np.maximum(end[active] - j - 1, 0)], 0)
         new_prefix[target], new_suffix[target] = up, active << 7 | j
         inside = target + 1 < n
         new_prefix[target[inside] + 1] = np.where(fresh[target[inside] + 1], new_prefix[target[inside] + 1], down[inside])
         place[active] = target
-        # the extended suffixes' old rows now have their symbols taken; they keep them for later counts
         columns.write(new_before, new_prefix, new_suffix)
     _, prefix, suffix = columns.read()
     columns.close()
     which, length = (suffix >> 7).astype(np.int64), (suffix & 127).astype(np.int64)
     group = np.cumsum(prefix < width)
     long = length >= width
-    which, start, group = which[long], size[which[long]] - length[long], group[long]
-    return which, start, group
+    return which[long], size[which[long]] - length[long], group[long]

@@ -53,9 +53,17 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+
+    Spark removes the shuffle files of the write when it is done; nothing reads them later.
+    """
+    path, conf, clean = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, "false")
+    conf.set(clean, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(clean, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -70,14 +78,6 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the JVM drop what it no longer refers to, so the shuffle files of written steps go."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES):
     """Slices of a batch with at most about limit bytes of text each (one row at least)."""
     n = batch.num_rows

@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.bwt import equal_windows
-from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, release, span_hashes, text_slices, utf8
+from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, span_hashes, text_slices, utf8
 
 WIDTH, GRAM = 50, 20
 #: Bytes of one step of the anchor search; longer documents take several, which overlap by a string.
 STEP = 4 << 20
+#: Bytes that make up a symbol of the column-wise construction; it divides WIDTH.
+SYMBOL = 10
 #: Different pieces of one anchor that a shard may hold, and pieces of a shard on average.
 PIECES_MOST, SHARD = 2048, 8192
 
@@ -49,6 +51,9 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
     rows, starts, ends, anchors = [], [], [], []
     wide = width - gram + 1
     mask = np.uint64(0xFFFFFF)
+    sizes = np.diff(offsets)
+    rows_at = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    ends_at = np.repeat(offsets[1:], sizes)
     for lo in range(0, max(len(buf) - width + 1, 0), step):
         part = buf[lo : lo + step + width - 1]
         g = gram_hashes(part, gram)
@@ -60,15 +65,14 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
             reach *= 2
         if reach < wide:
             key = np.minimum(key[: len(key) - (wide - reach)], key[wide - reach :])
-        at = np.arange(len(key)) + lo
-        row = np.searchsorted(offsets, at, "right") - 1
-        place = (key & mask).astype(np.int64)
-        good = at + width <= offsets[row + 1]
+        row = rows_at[lo : lo + len(key)]
+        place = (key & mask).astype(np.int32)
+        good = np.arange(lo + width, lo + width + len(key)) <= ends_at[lo : lo + len(key)]
         fresh = good.copy()
         fresh[1:] &= ~good[:-1] | (place[1:] != place[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(fresh)
         last = np.append(np.flatnonzero(good[:-1] & (fresh[1:] | ~good[1:])), np.flatnonzero(good[-1:]) + len(good) - 1)
-        rows.append(row[first])
+        rows.append(row[first].astype(np.int64))
         starts.append(first + lo)
         ends.append(last + lo + width)
         anchors.append(g[place[first]])
@@ -125,7 +129,7 @@ def _ordered(distinct: DataFrame, shards: int) -> DataFrame:
     def order(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         s, ids = t.column("s").to_numpy(), t.column("id").to_numpy()
-        owner, start, group = equal_windows(t.column("piece").to_pylist(), WIDTH)
+        owner, start, group = equal_windows(t.column("piece").to_pylist(), WIDTH, SYMBOL)
         bound = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         low = np.repeat(np.minimum.reduceat(ids[owner], bound), np.diff(np.append(bound, len(group))))
         o = np.lexsort((start, owner))
@@ -150,24 +154,19 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     """(id, key, spans): the starts and ends of the strings that go, for rows (id, key, text) that lose any.
 
     A hash join is asked for where one side is much larger than the other, which saves sorting it; each
-    step is written and its shuffle files let go before the next.
+    step is written, and its shuffle files go before the next.
     """
-    spark = docs.sparkSession
     docs = docs.where("id is not null and text is not null")
     anchors = materialize(_anchors(docs), "anchors", "lz4")
     each = anchors.select("id", F.explode("hs").alias("h"))
     shared = materialize(each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h"), "shared")
-    release(spark)
     wanted = each.join(shared.hint("shuffle_hash"), "h").groupBy("id").agg(F.collect_set("h").alias("hs"))  # of one document
     wanted = materialize(wanted, "wanted", "lz4")
     discard(anchors)
     discard(shared)
-    release(spark)
     cut = materialize(_cut(docs.join(wanted.hint("shuffle_hash"), "id")), "pieces")
     discard(wanted)
-    release(spark)
     distinct = materialize(cut.groupBy("h", "s", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "distinct")
-    release(spark)
     per = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b"), F.max(F.length("piece")).alias("size"), F.max("s").alias("s"))
     counts = materialize(per.where("a < b"), "counts")
     single = counts.where("n = 1").select("s", F.lit(0).alias("offset"), (F.col("size") - (WIDTH - 1)).alias("length"), F.col("a").alias("least"))
@@ -178,14 +177,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     strings = split.groupBy("s", "piece").agg(F.min("id").alias("least")).select("s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
     runs = materialize(single.union(few).union(strings), "runs")
     discard(distinct)
-    release(spark)
     where = cut.select("s", "id", "key", "start").union(split.select("s", "id", "key", "start"))
     begin = F.col("start") + F.col("offset")
     hits = where.join(runs.hint("shuffle_hash"), "s").where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
     spans = materialize(hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
     discard(cut)
     discard(runs)
-    release(spark)
     return spans
 
 
