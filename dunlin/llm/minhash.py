@@ -28,13 +28,12 @@ from dunlin.llm.common import LOWER, bounded_batches, components, discard, mater
 
 WORDS = 5
 PERCENT = 80
-BANDS, ROWS = 40, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 240
 MANTISSA = 10
 #: Below this size of a set, estimates are too rough to exclude much.
 SMALL = 64
-#: Candidates with a lower estimate are no links: over six standard deviations at 0.8.
-LEAST, LEAST_SMALL = 0.62, 0.4
+#: So much below the wanted similarity an estimate still lets a pair through: over six standard deviations.
+SLACK, SLACK_SMALL = 0.18, 0.4
 BLOCK = 256
 
 _G = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +98,16 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return np.maximum(equal - chance, 0.0) / (1.0 - chance)
 
 
+def band_rows(percent: int) -> int:
+    """Registers of a band: so many that a pair at the threshold shares each band with a chance of about a quarter."""
+    return max(1, round(np.log(0.26) / np.log(min(max(percent, 1), 99) / 100)))
+
+
+def promising(est: np.ndarray, least: np.ndarray, percent: int) -> np.ndarray:
+    """Whether estimates allow a link, by the sizes of the smaller sets."""
+    return est >= percent / 100 - np.where(least < SMALL, SLACK_SMALL, SLACK)
+
+
 def sketches(docs: DataFrame, size: int, id_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -126,7 +135,7 @@ def _promising(pairs: DataFrame, percent: int) -> DataFrame:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             est = estimate((x == y).mean(1))
-            ok = est >= np.where(np.minimum(na, nb) < SMALL, LEAST_SMALL, LEAST)
+            ok = promising(est, np.minimum(na, nb), percent)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     sized = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -177,7 +186,7 @@ def _in_blocks(groups: DataFrame, size: int, percent: int) -> DataFrame:
             y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])) & ~(linked[y] & linked[x])]
             if len(y):
                 est = estimate((regs[y] == regs[x]).mean(1))
-                ok = est >= np.where(np.minimum(n[y], n[x]) < SMALL, LEAST_SMALL, LEAST)
+                ok = promising(est, np.minimum(n[y], n[x]), percent)
                 xs.append(np.full(int(ok.sum()), x))
                 ys.append(y[ok])
                 es.append(est[ok])
@@ -225,8 +234,9 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     drawn = materialize(sketches(source, size, "id"), "sketch", "lz4")
     sets = materialize(drawn.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets")
 
-    width = 2 * ROWS
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
+    rows = band_rows(percent)
+    width = 2 * rows
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
     bands = sets.select(band.alias("bucket"), "id")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(bands.join(shared, "bucket"), "members")
