@@ -139,7 +139,7 @@ def format_chats(turns: DataFrame, rows: int = ROWS) -> DataFrame:
     base = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     # equal turns of a conversation are told apart by role and text, so that their order is fixed
     keyed = base.withColumn("mark", F.xxhash64("role", "text"))
-    ranged = keyed.repartitionByRange(parts, F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("mark")).withColumn("part", F.spark_partition_id())
+    ranged = keyed.repartitionByRange(parts, F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("mark")).withColumn("part", F.spark_partition_id())
     dealt = materialize(ranged.withColumnRenamed("mark", "seq"), "turns")
     kind = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
     slim = dealt.select("part", "conv_id", "turn", "seq", "role")

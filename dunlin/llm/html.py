@@ -221,7 +221,7 @@ def extract(html: str | None) -> str:
         node = node.parent
     kept = [best]
     if best.parent is not None and best.tag not in ("body", "html", "#root"):
-        least = max(5.0, 0.2 * score(best))
+        least = max(3.0, 0.2 * score(best))
         kept = []
         for sib in best.parent.children:
             if isinstance(sib, str) or sib.skip:
