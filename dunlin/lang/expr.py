@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import sys
 from dataclasses import dataclass, field
 
 from dunlin.settings import DialectError
 
 MOST_DEPTH = 400
+# a level takes a few Python frames, in parsing and again in compiling
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MOST_DEPTH))
 
 
 @dataclass(frozen=True)
