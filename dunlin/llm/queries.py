@@ -79,4 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what SQL can express; a model, a tokenizer, a tree of tags and a Feistel network are tested otherwise."""
+    from dunlin.llm import oracles
+
+    return {"op2_embeddings": oracles.op2(), "op5_substrings": oracles.op5(), "op7_urls": oracles.op7(), "op10_minhash": oracles.op10()}
