@@ -86,7 +86,9 @@ class Planner:
 
     # -- subqueries
 
-    def subqueries(self, scope: Scope):
+    def subqueries(self, scope: Scope, sure: bool = False):
+        """Subqueries of a condition as columns; if sure, an unknown membership is false."""
+
         def special(node: Node) -> Val | None:
             if isinstance(node, S.Exists):
                 inner, _ = self.inner(node.query, scope)
@@ -97,7 +99,8 @@ class Planner:
                 inner, val = self.inner(node.query, scope)
                 held = inner.select(val.col.alias("__member")).where("__member is not null")
                 hit = held.where(compare.equal(Val(outer_of(x.col, scope, node.arg, self, special), x.kind), Val(F.col("__member"), val.kind), self.settings)).exists()
-                return Val(F.when(x.col.isNotNull(), ~hit if node.negated else hit), "L")
+                hit = ~hit if node.negated else hit
+                return Val(x.col.isNotNull() & hit if sure else F.when(x.col.isNotNull(), hit), "L")
             if isinstance(node, S.Compare):
                 x = Compiler(scope.resolve, self.settings, self.functions, special).value(node.arg)
                 inner, val = self.inner(node.query, scope)
@@ -140,10 +143,15 @@ class Planner:
             right = self.source(j.source, scope)
             cond = Compiler(scope.resolve, self.settings, self.functions).condition(j.on)
             df = df.join(right, cond, {"full": "full_outer"}.get(j.kind, j.kind))
-        if q.where is not None:
-            df = df.where(self.compiler(scope).condition(q.where))
+        for part in conjuncts(q.where):
+            df = df.where(self.member(part, scope) if isinstance(part, S.In) else self.compiler(scope).condition(part))
         return df
 
+    def member(self, node: S.In, scope: Scope) -> Column:
+        """IN as a condition of its own: unknown counts as false, which makes it a plain semi or anti join."""
+        found = self.subqueries(scope, sure=True)(node)
+        return found.col
+
     # -- output
 
     def names(self, items: list[tuple[Node, str | None, str | None]], several: bool) -> list[str]:
@@ -380,6 +388,15 @@ def outer_of(col: Column, scope: Scope, node: Node, planner: Planner, special) -
     return Compiler(resolve, planner.settings, planner.functions, special).value(node).col
 
 
+def conjuncts(node: Node | None) -> list[Node]:
+    """The parts of a condition that must all hold."""
+    if node is None:
+        return []
+    if isinstance(node, Binary) and node.op == "AND":
+        return conjuncts(node.left) + conjuncts(node.right)
+    return [node]
+
+
 def aggregates(node: Node) -> bool:
     return any(isinstance(n, Call) and n.name in AGGREGATES and len(n.args) == 1 for n in walk(node))
 
