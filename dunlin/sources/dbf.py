@@ -31,7 +31,8 @@ PAGES = {
     0x67: "cp861", 0x6A: "cp737", 0x6B: "cp857", 0x6C: "cp863", 0x78: "cp950", 0x79: "cp949", 0x7A: "cp936", 0x7B: "cp932", 0x7C: "cp874", 0x7D: "cp1255", 0x7E: "cp1256", 0x86: "cp737", 0x87: "cp852", 0x88: "cp857",
     0xC8: "cp1250", 0xC9: "cp1251", 0xCA: "cp1254", 0xCB: "cp1253", 0xCC: "cp1257",
 }
-FOX = (0x30, 0x31, 0x32)
+#: Versions whose columns carry flags.
+FLAGGED = (0x30, 0x31, 0x32)
 EPOCH = dt.date(1970, 1, 1).toordinal()
 JULIAN = 1721425
 
@@ -98,7 +99,7 @@ def read_header(f, encoding: str | None = None) -> Header:
             name, kind, length, decimals, flags = d[:32], chr(d[32]), d[33], d[34], 0
         else:
             name, kind, length, decimals, flags = d[:11], chr(d[11]), d[16], d[17], d[18]
-        if kind == "C" and decimals and version not in FOX:
+        if kind == "C" and decimals and version not in FLAGGED:
             length, decimals = length + 256 * decimals, 0
         c = Column(name.split(b"\0")[0].decode("latin-1").strip(), kind, offset, length, decimals, flags)
         offset += length
@@ -114,7 +115,7 @@ def read_header(f, encoding: str | None = None) -> Header:
 
 
 class Memo:
-    """The side file of memo texts: blocks with a length (FoxPro), a marked length (dBase IV), or an end mark (dBase III)."""
+    """The side file of memo texts: blocks with a length (.fpt), or with a marked length or an end mark (.dbt)."""
 
     def __init__(self, path: str, version: int):
         base = os.path.splitext(path)[0]
@@ -122,18 +123,18 @@ class Memo:
         for end in (".fpt", ".FPT", ".dbt", ".DBT"):
             if os.path.exists(base + end):
                 self.f = open(base + end, "rb")
-                self.fox = end.lower() == ".fpt"
+                self.sized = end.lower() == ".fpt"
                 break
         self.version = version
         if self.f:
             head = self.f.read(32)
-            self.block = struct.unpack(">H", head[6:8])[0] or 512 if self.fox else (struct.unpack("<H", head[20:22])[0] or 512 if version in (0x8B, 0xCB) else 512)
+            self.block = struct.unpack(">H", head[6:8])[0] or 512 if self.sized else (struct.unpack("<H", head[20:22])[0] or 512 if version in (0x8B, 0xCB) else 512)
 
     def read(self, at: int) -> bytes | None:
         if not at or self.f is None:
             return None
         self.f.seek(at * self.block)
-        if self.fox:
+        if self.sized:
             head = self.f.read(8)
             return self.f.read(struct.unpack(">I", head[4:])[0]) if len(head) == 8 else None
         head = self.f.read(8)
