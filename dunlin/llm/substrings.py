@@ -170,10 +170,12 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     per = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b"), F.max(F.length("piece")).alias("size"), F.max("s").alias("s"))
     counts = materialize(per.where("a < b"), "counts")
     single = counts.where("n = 1").select("s", F.lit(0).alias("offset"), (F.col("size") - (WIDTH - 1)).alias("length"), F.col("a").alias("least"))
-    several, hot = counts.where(f"n between 2 and {PIECES_MOST}"), counts.where(f"n > {PIECES_MOST}").select("h")
+    several = counts.where(f"n between 2 and {PIECES_MOST}")
+    # written, so that Spark knows its size and moves the pieces only if it is too large to send to all
+    hot = materialize(counts.where(f"n > {PIECES_MOST}").select("h"), "hot")
     rows = several.agg(F.sum("n")).first()[0] or 0
     few = _ordered(distinct.select("h", "s", "piece", "id").join(several.select("h").hint("shuffle_hash"), "h"), max(rows // SHARD, 1))
-    split = _windows(cut.join(hot.hint("shuffle_hash"), "h"))
+    split = _windows(cut.join(hot, "h"))
     strings = split.groupBy("s", "piece").agg(F.min("id").alias("least")).select("s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
     runs = materialize(single.union(few).union(strings), "runs")
     discard(distinct)
