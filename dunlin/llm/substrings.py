@@ -179,12 +179,14 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     strings = split.groupBy("s", "piece").agg(F.min("id").alias("least")).select("s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
     runs = materialize(single.union(few).union(strings), "runs")
     discard(distinct)
+    discard(counts)
     where = cut.select("s", "id", "key", "start").union(split.select("s", "id", "key", "start"))
     begin = F.col("start") + F.col("offset")
     hits = where.join(runs.hint("shuffle_hash"), "s").where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
     spans = materialize(hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
     discard(cut)
     discard(runs)
+    discard(hot)
     return spans
 
 
