@@ -4,7 +4,9 @@ Main path: DataFrame functions only. Validated values are permuted within their
 Feistel network, so a value has the same pseudonym in every document and no two values share one:
 
 * card numbers (13 to 19 digits, blanks or hyphens between, Luhn): permuted but for the last digit,
-  which becomes the Luhn digit of the new number;
+  which becomes the Luhn digit of the new number. In a longer run of digits each number is validated
+  alone: first the usual layouts (solid, 4-4-4-4, 4-6-5 and such), then a whole run of 13 to 19 digits,
+  then other groups of 3 to 7 digits; the leftmost counts where valid ones overlap, the longest of its place;
 * IPv4 addresses (four numbers to 255): the 32-bit number is permuted;
 * phone numbers (+country code, or a bracketed area code, or groups of 3, 3 and 4; 10 to 15 digits)
   and numbers in the groups 3-2-4: the digits after a country code are permuted;
@@ -31,8 +33,20 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}](?:[\p{L}\p{N}-]
 SECRET = r"(?i:\b(?:api[_-]?key|token|secret|password|passwd|pwd)\b[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9_+/=-]{16,}"
 IP = rf"(?<![0-9.]){_OCT}(?:\.{_OCT}){{3}}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])"
-PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|[.-][0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|[ -][0-9])"
+#: Usual layouts of card numbers, the shorter ones (which a phone number's digits may fill) apart.
+_LONG_CARD = "|".join(f"[0-9]{{4}}(?:{c}[0-9]{{4}}){{3}}(?:{c}[0-9]{{1,3}})?|[0-9]{{4}}{c}[0-9]{{6}}{c}[0-9]{{5}}" for c in " -")
+_CARD = "|".join(("[0-9]{13,19}", _LONG_CARD, *(f"[0-9]{{4}}(?:{c}[0-9]{{4}}){{2}}{c}[0-9]{{1,3}}|[0-9]{{4}}{c}[0-9]{{6}}{c}[0-9]{{4}}|[0-9]{{6}}{c}[0-9]{{7,13}}" for c in " -")))
+_GROUPS = "[0-9]{3,7}(?:[ -][0-9]{3,7}){1,5}"
+#: A phone number ends before a card number that ends its run, and after nine digits before any.
+_NO_LONG_CARD, _NO_CARD = (rf"(?!(?<![0-9])(?:{p})(?![0-9]|[ -][0-9]))" for p in (_LONG_CARD, _CARD))
+_NO_CARD += rf"(?!(?<=[0-9]{'[ ().-]{0,2}[0-9]' * 8}[ .-])(?:{_CARD})(?![0-9]))"
+PHONE = (
+    rf"(?<![0-9+])(?:\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?{_NO_LONG_CARD}[0-9]{{2,4}}(?:[ .-]?{_NO_CARD}[0-9]{{2,4}}){{1,4}}"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9]|[.-][0-9])"
+)
+#: A whole run of 13 or more digits, up to where another value starts; card() finds the numbers in it.
+_PART = rf"(?>[0-9](?:-?[0-9]){{12,18}}(?![0-9]|-[0-9])|[0-9]++(?:-(?!{PHONE})[0-9]++)*+)"
+CARD = rf"(?<![0-9])(?=[0-9](?:[ -]?[0-9]){{12}}){_PART}(?: (?!{EMAIL}|{IP}|{DATE}|{PHONE}){_PART})*+(?<=[0-9]{'[ -]?[0-9]' * 12})"  # written out, as a look-behind may not hold such a group repeated
 ANY = "|".join((SECRET, EMAIL, IP, DATE, PHONE, CARD))
 KINDS = ("secret", "email", "ip", "date", "phone", "card")
 
@@ -117,12 +131,71 @@ def laid_out(form: Column, digits: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(1), F.length(form)), at), "")
 
 
-def card(m: Column, key: str) -> Column:
+def card_number(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         body = permuted(F.substring(d, F.lit(1), F.length(d) - 1), F.lit("card"), key)
         return bind(body, lambda b: laid_out(m, F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
-    return bind(F.regexp_replace(m, "[^0-9]", ""), lambda d: F.when(luhn_sum(d) % 10 == 0, new(d)).otherwise(m))
+    return bind(F.regexp_replace(m, "[^0-9]", ""), new)
+
+
+#: Groups of digits of a card number at most, but for a whole run.
+WIDEST = 6
+
+
+def _apart(found: Column) -> Column:
+    """Of windows in order of their places those that overlap no earlier one taken."""
+    start = F.struct(F.filter(found, lambda c: F.lit(False)).alias("taken"), F.lit(0).alias("end"))
+
+    def step(acc: Column, c: Column) -> Column:
+        more = F.struct(F.concat(acc.taken, F.array(c)).alias("taken"), (c.at + c.wide - 1).alias("end"))
+        return F.when(c["at"] > acc.end, more).otherwise(acc)
+
+    return F.aggregate(found, start, step, lambda acc: acc.taken)
+
+
+def card(m: Column, key: str) -> Column:
+    """(value, n): a run of digits with its valid card numbers replaced, and how many of them changed."""
+
+    def within(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def window(k: Column, wide: Column) -> Column:
+            text = F.regexp_replace(F.array_join(F.slice(parts, k, wide), ""), "[ -]$", "")
+            digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
+            rank = F.when(text.rlike(f"^(?:{_CARD})$"), 0).when(digits.between(13, 19) & ((wide == n) | text.rlike(f"^(?:{_GROUPS})$")), 1)
+            return F.struct(k.alias("at"), wide.alias("wide"), text.alias("text"), rank.alias("rank"))
+
+        def valid(c: Column) -> Column:
+            return F.when(c.rank.isNotNull(), luhn_sum(F.regexp_replace(c.text, "[^0-9]", "")) % 10 == 0).otherwise(False)
+
+        wides = lambda k: F.sequence(F.least(F.lit(WIDEST), n - k + 1), F.lit(1), F.lit(-1))
+        found = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.filter(F.transform(wides(k), lambda w: window(k, w)), valid)))
+        whole = F.filter(F.array(window(F.lit(1), n)), lambda c: (n > WIDEST) & valid(c))
+        return bind(F.concat(whole, found), lambda f: bind(_apart(F.filter(f, lambda c: c.rank == 0)), lambda usual: _replaced_windows(parts, _with_others(usual, f), key)))
+
+    return bind(F.regexp_extract_all(m, F.lit("([0-9]+[ -]?)"), F.lit(1)), within)
+
+
+def _with_others(usual: Column, found: Column) -> Column:
+    """usual and the windows of other layouts that overlap none of them, by place."""
+    clear = lambda c: ~F.exists(usual, lambda u: (u["at"] < c["at"] + c.wide) & (c["at"] < u["at"] + u.wide))
+    return F.array_sort(F.concat(usual, _apart(F.filter(found, lambda c: F.when(c.rank == 1, clear(c)).otherwise(False)))))
+
+
+def _replaced_windows(parts: Column, taken: Column, key: str) -> Column:
+    def use(t: Column) -> Column:
+        def piece(c: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.element_at(t, F.greatest(i, F.lit(1)))["at"] + F.element_at(t, F.greatest(i, F.lit(1))).wide).otherwise(1)
+            last = F.element_at(parts, c["at"] + c.wide - 1)
+            new = card_number(c.text, key)
+            return F.struct(F.concat(F.array_join(F.slice(parts, before, c["at"] - before), ""), new, F.regexp_extract(last, "[ -]?$", 0)).alias("value"), (new != c.text).cast("int").alias("n"))
+
+        end = F.when(F.size(t) > 0, F.element_at(t, F.greatest(F.size(t), F.lit(1)))["at"] + F.element_at(t, F.greatest(F.size(t), F.lit(1))).wide).otherwise(1)
+        rest = F.array_join(F.slice(parts, end, F.size(parts)), "")
+        return bind(F.transform(t, piece), lambda p: F.struct(F.concat(F.array_join(F.transform(p, lambda x: x.value), ""), rest).alias("value"), F.aggregate(p, F.lit(0), lambda acc, x: acc + x.n).alias("n")))
+
+    return bind(taken, use)
 
 
 def ip(m: Column, key: str) -> Column:
@@ -179,12 +252,13 @@ def kind_of(m: Column) -> Column:
 
 
 def replaced(m: Column, key: str) -> Column:
+    """(value, n): a match with its private values replaced, and how many of them changed."""
     k = kind_of(m)
     makers = {"secret": secret, "email": email, "ip": ip, "date": date, "phone": phone}
-    out = card(m, key)
+    out = m
     for name, make in makers.items():
         out = F.when(k == name, make(m, key)).otherwise(out)
-    return out
+    return F.when(k == "card", card(m, key)).otherwise(bind(out, lambda o: F.struct(o.alias("value"), (o != m).cast("int").alias("n"))))
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -194,8 +268,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_
     old, new, parts = "__dunlin_old", "__dunlin_new", "__dunlin_parts"
     wide = docs.withColumn(old, F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     wide = wide.withColumn(new, F.transform(old, lambda m: replaced(m, key))).withColumn(parts, F.when(F.col(old).isNotNull(), F.split(text, ANY, -1)))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size(new)), new, lambda a, b: F.concat(a, b)), ""), F.element_at(parts, -1))
-    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size(new)), new, lambda a, b: F.concat(a, b.value)), ""), F.element_at(parts, -1))
+    changed = F.aggregate(new, F.lit(0), lambda acc, x: acc + x.n)
     out = wide.withColumn(text_col, F.when(F.col(old).isNotNull(), joined).otherwise(text))
     if count_col:
         out = out.withColumn(count_col, F.when(F.col(old).isNotNull(), changed).otherwise(0).cast("long"))

@@ -58,3 +58,34 @@ def test_long_text(spark):
     text = "word " * 50_000 + "1.2.3.4 " * 500
     out = run(spark, [text])[0]
     assert out.startswith("word word") and len(set(out.split()[-500:])) == 1 and "1.2.3.4 " not in out
+
+
+def test_cards_beside_other_digits(spark):
+    card, other = "4111111111111111", "4845168114407329"
+    new, new_other = run(spark, [card, other])
+    grouped = " ".join(re.findall("....", new))
+    texts = {
+        f"7536784127813050 {other} x": None,
+        f"{card} {other}": f"{new} {new_other}",
+        f"{card} 12/27": f"{new} 12/27",
+        f"{card} 2024": f"{new} 2024",
+        "3 4111 1111 1111 1111": f"3 {grouped}",
+        "77 4111 1111 1111 1111 123 9": f"77 {grouped} 123 9",
+        f"{card}-123, 5 {card}": f"{new}-123, 5 {new}",
+        "4111 1111 1111 1112 " + card: "4111 1111 1111 1112 " + new,
+        "1 2 3 " * 20_000 + card: "1 2 3 " * 20_000 + new,
+        "order 12 4111-1111-1111-1111 4845-1681-1440-7329": "order 12 " + " ".join("-".join(re.findall("....", x)) for x in (new, new_other)),
+    }
+    for (text, want), got in zip(texts.items(), run(spark, list(texts))):
+        assert got == want or want is None and new_other in got and "7536784127813050" not in got
+    df = spark.createDataFrame([(f"{card} {other} 2024",)], "text string")
+    assert pseudonymise(df, count_col="n").first().n == 2
+
+
+def test_other_values_beside_cards(spark):
+    card = "4111111111111111"
+    values = ["10.0.0.1", "2024-01-31", "31.01.2024", "01/31/2024", "555-123-4567", "+1 523 555 1055", "123-45-6789", "12ab@mail.example.com"]
+    alone = run(spark, [card, *values])
+    beside = run(spark, [f"{card} {v}" for v in values] + [f"{v} {card}" for v in values] + [f"{v} 4111 1111 1111 1111" for v in values])
+    grouped = " ".join(re.findall("....", alone[0]))
+    assert beside == [f"{alone[0]} {v}" for v in alone[1:]] + [f"{v} {alone[0]}" for v in alone[1:]] + [f"{v} {grouped}" for v in alone[1:]]
