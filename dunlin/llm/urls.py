@@ -7,6 +7,8 @@ url, or one without `://`, has an empty host and path and fits no rule.
 Where no rule fits, personalised PageRank over host edges decides: trust flows along links from
 hosts with allowed pages, distrust flows against links from hosts with blocked pages, and a host
 whose distrust share is at least `threshold` is blocked; all others, unknown hosts too, are allowed.
+Rounds go on until every host that can be reached has its score up to `TOLERANCE` of itself, so the
+verdict depends neither on a host's size nor on its distance; only the scores shown are rounded.
 Each page row gives one result row; repeated ids stay.
 """
 
@@ -21,7 +23,10 @@ from dunlin.llm.common import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
+#: Rounds that the SQL of oracles.op7 writes out; the operator itself has no such limit.
 ROUNDS = 5
+#: What a host's score may lack at the end, and a share the threshold, as a part of itself.
+TOLERANCE = 1e-6
 THRESHOLD = 0.5
 #: An absolute link of an HTML attribute; its first group is the host.
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -67,19 +72,23 @@ def by_rules(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return name, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank (host, score) along weighted edges (src, dst, share) from seeds (host, seed)."""
-    score = seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-    old = None
-    for _ in range(rounds):
-        flow = edges.join(score, edges.src == score.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("score")).alias("flow"))
-        parts = flow.select(F.col("dst").alias("host"), (F.lit(damping) * F.col("flow")).alias("score"))
-        parts = parts.union(seeds.select("host", (F.lit(1 - damping) * F.col("seed")).alias("score")))
-        score = materialize(parts.groupBy("host").agg(F.sum("score").alias("score")), "rank")
-        if old is not None:
-            discard(old)
-        old = score
-    return score
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank (host, score) along weighted edges (src, dst, share) from seeds (host, seed).
+
+    Each round passes on only what the last one brought (step); what a host may still get is taken to
+    fall by the damping each round.
+    """
+    first = F.lit(1 - damping) * F.col("seed")
+    state = materialize(seeds.select("host", first.alias("score"), first.alias("step")), "rank")
+    while True:
+        flow = edges.join(state.where("step > 0"), edges.src == state.host).groupBy("dst").agg(F.sum(F.col("share") * F.col("step")).alias("flow"))
+        parts = flow.select(F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.lit(damping) * F.col("flow")).alias("step"))
+        parts = parts.union(state.select("host", "score", F.lit(0.0).alias("step")))
+        nxt = materialize(parts.groupBy("host").agg((F.sum("score") + F.sum("step")).alias("score"), F.sum("step").alias("step")), "rank")
+        discard(state)
+        state = nxt
+        if state.where(F.col("step") * damping > F.lit(tolerance * (1 - damping)) * F.col("score")).isEmpty():
+            return state.select("host", "score")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_col: str = "page_id") -> DataFrame:
@@ -93,8 +102,10 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_
     pairs = materialize(links.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
     out = pairs.groupBy("src").agg(F.sum("n").alias("total"))
     along = pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
+    along = materialize(along, "along")
     into = pairs.groupBy("dst").agg(F.sum("n").alias("total"))
     against = pairs.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("total")).alias("share"))
+    against = materialize(against, "against")
 
     hosts = own.where("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("ruled") == "allow", 1.0).otherwise(0.0)).alias("trusted"), F.avg(F.when(F.col("ruled") == "block", 1.0).otherwise(0.0)).alias("blocked")
@@ -103,8 +114,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, id_
     trust = propagate(along, hosts.where("trusted > 0").select("host", F.col("trusted").alias("seed")))
     distrust = propagate(against, hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")))
     scores = hosts.select("host").join(trust.withColumnRenamed("score", "trust"), "host", "left").join(distrust.withColumnRenamed("score", "distrust"), "host", "left").na.fill(0.0)
-    scores = scores.select("host", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
     judged = own.join(scores, "host", "left")
-    bad = F.col("distrust") >= F.lit(threshold) * (F.col("trust") + F.col("distrust"))
+    bad = F.col("distrust") >= F.lit(threshold * (1 - TOLERANCE)) * (F.col("trust") + F.col("distrust"))
     by_graph = F.when((F.col("distrust") > 0) & bad, "block").otherwise("allow")
-    return judged.select(id_col, "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return judged.select(id_col, "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("trust", "distrust")))

@@ -56,3 +56,15 @@ def test_trust_and_distrust_flow(spark):
 
 def test_empty(spark):
     assert filter_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_verdict_depends_on_neither_size_nor_distance(spark):
+    from pyspark.sql import functions as F
+
+    big = spark.range(400_000).select((F.col("id") + 100).alias("page_id"), F.concat(F.when(F.col("id") == 0, "http://big.com/en/").otherwise("http://big.com/x"), F.col("id").cast("string")).alias("url"), F.lit("").alias("html"))
+    chain = [(k, f"http://h{k}.xyz/", link(f"h{k + 1}.xyz" if k < 8 else "bad.com")) for k in range(9)] + [(9, "http://bad.com/en/1", "")]
+    out = filter_urls(big.union(spark.createDataFrame(chain, big.schema)))
+    assert out.where("host = 'big.com' and verdict = 'allow'").isEmpty() and out.where("host = 'big.com'").count() == 400_000
+    by = {r.page_id: r for r in out.where("page_id < 100").collect()}
+    assert {by[k].verdict for k in range(10)} == {"block"}
+    assert [by[k].distrust for k in (0, 8, 9)] == [round(0.15 * 0.85**9, 6), round(0.15 * 0.85, 6), 0.15]
