@@ -2,8 +2,8 @@
 
 Each paragraph gives points for its length and commas to its parent and half of them to its
 grandparent; a container's points are discounted by its link density. The container with the most
-points, and those of its siblings that score or read like it, are kept; their blocks are joined in
-page order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+points is kept, and beside it and beside each element around it all that is not link-dense; an article
+or main element around it bounds what is kept. The blocks are joined in page order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
 comments and hidden parts are left out wherever they stand.
 
 A null or empty html, or a page without text, gives an empty text. Broken markup is read as browsers
@@ -219,17 +219,27 @@ def extract(html: str | None) -> str:
             best = node
             break
         node = node.parent
-    kept = [best]
-    if best.parent is not None and best.tag not in ("body", "html", "#root"):
-        least = max(3.0, 0.2 * score(best))
-        kept = []
-        for sib in best.parent.children:
-            if isinstance(sib, str) or sib.skip:
-                continue
-            dense = sib.link / max(sib.length, 1.0)
-            if sib is best or sib.tag == best.tag == "article" and sib.length and dense < 0.5 or sib.points and score(sib) >= least or sib.tag == "p" and sib.length > 80 and dense < 0.25:
-                kept.append(sib)
-    return "\n".join(text for node in kept for _, text, _ in blocks_of(node))
+    if best.tag in ("article", "main"):
+        kept = [best]
+        if best.parent is not None:
+            least = max(3.0, 0.2 * score(best))
+            kept = []
+            for sib in best.parent.children:
+                if isinstance(sib, str) or sib.skip:
+                    continue
+                dense = sib.link / max(sib.length, 1.0)
+                if sib is best or sib.tag == best.tag == "article" and sib.length and dense < 0.5 or sib.points and score(sib) >= least or sib.tag == "p" and sib.length > 80 and dense < 0.25:
+                    kept.append(sib)
+        return "\n".join(text for node in kept for _, text, _ in blocks_of(node))
+    least, node, around = max(3.0, 0.2 * score(best)), best, set()
+    while node.parent is not None:
+        for sib in node.parent.children:
+            if not isinstance(sib, str) and sib is not node and sib.link >= 0.5 * max(sib.length, 1.0) and score(sib) < least:
+                sib.skip = True
+        node = node.parent
+        around.add(id(node))
+    # text straight in an element around the best container is judged by itself
+    return "\n".join(text for owner, text, links in blocks_of(node) if id(owner) not in around or links < 0.5 * len(text))
 
 
 def articles(root: Node) -> Iterator[Node]:

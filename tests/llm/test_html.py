@@ -33,3 +33,9 @@ def test_rows(spark):
     out = extract_pages(df).collect()
     assert [(r.page_id, r.text, r.n_chars) for r in out] == [(1, "Hé", 2), (1, "Hé", 2), (None, "", 0)]
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_short_parts_beside_the_best_container():
+    page = f"<body><ul><li><a href=1>Home</a><li><a href=2>News</a></ul><h1>Title</h1><div id=main>Intro <a href=x>here</a> and on.<h2>Head</h2><div><p>{BODY}</p><p>{BODY}</p></div><blockquote>Quote</blockquote><div><p>{'short words ' * 8}</p></div><ul><li>one<li>two</ul><p>Short end.</p></div><div><a href=1>l</a></div></body>"
+    assert extract(page) == "\n".join(["Title", "Intro here and on.", "Head", BODY.strip(), BODY.strip(), "Quote", ("short words " * 8).strip(), "one", "two", "Short end."])
+    assert extract(f"<div id=main><h1>Title</h1><div><p>{BODY}</p><p>{BODY}</p></div><p>Short end.</p></div>") == "\n".join(["Title", BODY.strip(), BODY.strip(), "Short end."])
