@@ -218,7 +218,7 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, cosine: float)
 def assign(rows: DataFrame, model: dict, cosine: float) -> DataFrame:
     """vec_id, label, key, unit vector, ball and shard of every usable row, one row for each of its shards.
 
-    A row is stored in all of them and searched for in its home only, the shard of its nearest centre.
+    They are those of its nearest centres and of every ball in reach; it is stored and searched for in all.
     """
     near = np.sqrt(2 - 2 * cosine)
     inner = 1 - (near / 2) ** 2 / 2 + 1e-9
@@ -241,24 +241,19 @@ def assign(rows: DataFrame, model: dict, cosine: float) -> DataFrame:
                     s = x @ centres.T
                     take = min(OVERLAP, len(centres))
                     shard = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(centres) else np.tile(np.arange(take), (len(x), 1))
-                    nearest = s.argmax(1)
                     who, shard = np.repeat(np.arange(len(x)), take), shard.ravel()
-                    searched = np.zeros((len(x), len(centres)), bool)
-                    searched[np.arange(len(x)), nearest] = True
                     if len(balls):
                         # whatever may be linked with a ball's members meets them in the shard of its centre
-                        closest, reach = (x @ balls.T).argmax(1), (x @ balls.T).max(1) >= 1 - (1.5 * near) ** 2 / 2 - 1e-9
+                        more, of = np.nonzero(x @ balls.T >= 1 - (1.5 * near) ** 2 / 2 - 1e-9)
                         home = (balls @ centres.T).argmax(1)
-                        more = np.flatnonzero(reach)
-                        searched[more, home[closest[more]]] = True
-                        both = np.unique(np.stack([np.concatenate([who, more]), np.concatenate([shard, home[closest[more]]])], 1), axis=0)
+                        both = np.unique(np.stack([np.concatenate([who, more]), np.concatenate([shard, home[of]])], 1), axis=0)
                         who, shard = both[:, 0], both[:, 1]
                     unit_rows = pa.FixedSizeListArray.from_arrays(pa.array(x[who].ravel()), int(size)).cast(pa.list_(pa.float64()))
                     columns = [part.column(c).take(pa.array(who)) for c in ("vec_id", "label", "key")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(who), size, np.int32)), pa.array(ball[who]), pa.array(shard.astype(np.int32)), pa.array(searched[who, shard]), unit_rows], names=["vec_id", "label", "key", "size", "ball", "shard", "home", "x"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(who), size, np.int32)), pa.array(ball[who]), pa.array(shard.astype(np.int32)), unit_rows], names=["vec_id", "label", "key", "size", "ball", "shard", "x"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
-    return rows.select("vec_id", "label", "key", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, key bigint, size int, ball bigint, shard int, home boolean, x array<double>")
+    return rows.select("vec_id", "label", "key", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, key bigint, size int, ball bigint, shard int, x array<double>")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -290,17 +285,17 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     edges = dealt.groupBy("label", "size", "shard", "block").applyInArrow(build, "key bigint, near bigint")
     lists = materialize(edges.groupBy("key").agg(F.collect_set("near").alias("near")), "graph")  # a shard's, of which none is over SHARD_MOST
-    stored = dealt.select("label", "size", "shard", "block", F.lit(True).alias("stored"), "home", "vec_id", "key", "ball", "x").join(lists, "key", "left")
+    stored = dealt.select("label", "size", "shard", "block", F.lit(True).alias("stored"), "vec_id", "key", "ball", "x").join(lists, "key", "left")
     # a shard of several blocks is searched in each of them
-    queries = dealt.where("home and blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    queries = queries.select("label", "size", "shard", F.col("to").alias("block"), F.lit(False).alias("stored"), "home", "vec_id", "key", "ball", "x", F.lit(None).cast("array<bigint>").alias("near"))
+    queries = dealt.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
+    queries = queries.select("label", "size", "shard", F.col("to").alias("block"), F.lit(False).alias("stored"), "vec_id", "key", "ball", "x", F.lit(None).cast("array<bigint>").alias("near"))
 
     def look(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         x = matrix(t.column("x").chunk(0))
         key, ball, stored = (t.column(c).to_numpy() for c in ("key", "ball", "stored"))
-        own, asked = np.flatnonzero(stored), np.flatnonzero(t.column("home").to_numpy())
-        if not len(own) or not len(asked):
+        own = np.flatnonzero(stored)
+        if not len(own):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         order = own[np.argsort(key[own], kind="stable")]
         sorted_keys = key[order]
@@ -314,15 +309,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 at = at[sorted_keys[at] == v]  # neighbours in other shards are searched there
                 graph[k, : len(at)] = at
         a, b = [], []
-        for lo in range(0, len(asked), 256):
-            q, found = search(x[order], graph, x[asked[lo : lo + 256]], cosine)
-            q, rows_ = asked[lo + q], order[found]
+        for lo in range(0, len(x), 256):
+            q, found = search(x[order], graph, x[lo : lo + 256], cosine)
+            q, rows_ = lo + q, order[found]
             ok = (key[q] != key[rows_]) & ~((ball[q] == ball[rows_]) & (ball[q] >= 0))
             a.append(key[q[ok]])
             b.append(key[rows_[ok]])
         return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
 
-    found = stored.select("label", "size", "shard", "block", "stored", "home", "vec_id", "key", "ball", "x", "near").union(queries).groupBy("label", "size", "shard", "block").applyInArrow(look, "a bigint, b bigint")
+    found = stored.select("label", "size", "shard", "block", "stored", "vec_id", "key", "ball", "x", "near").union(queries).groupBy("label", "size", "shard", "block").applyInArrow(look, "a bigint, b bigint")
     one = found.where("a <> b")
     pairs = materialize(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     ids = materialize(placed.select("key", "vec_id", "label", "size", "ball").distinct(), "ids")

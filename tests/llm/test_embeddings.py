@@ -81,3 +81,20 @@ def test_small_tables(spark):
     assert result(table(spark, []).limit(0)) == {}
     one = [(1, 0, [1.0, 0.0]), (2, 0, [1.0, 0.0]), (3, 0, [1.0, 0.0, 0.0])]
     assert result(table(spark, one)) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
+def test_links_across_homes(spark, monkeypatch):
+    """Two linked rows that share a shard, though neither's nearest centre is among the other's three."""
+    at = lambda *angles: np.array([[np.cos(a), np.sin(a)] for a in angles])
+    monkeypatch.setattr(E, "fit", lambda *_: (at(-0.01, -0.05, 0.09, 0.2, 0.24), np.zeros((0, 2))))
+    rows = [(k, 0, v.tolist()) for k, v in enumerate(at(0, 0.19))]
+    assert result(table(spark, rows)) == brute(rows) == {0: (1, 0), 1: (1, 0)}
+
+
+def test_every_ball_in_reach(spark):
+    """A row between two balls, linked with a member of the one that is not its closest."""
+    at = lambda *angles: np.array([[np.cos(a), np.sin(a)] for a in angles])
+    model = {(0, 2): (at(0.14, 0.15, 0.16, 0.25, -0.02, -0.1, -0.11), at(0, 0.25))}
+    rows = spark.createDataFrame([(k, 0, k, v.tolist()) for k, v in enumerate(at(0.14, -0.05))], "vec_id long, label int, key long, embedding array<double>")
+    shards = {k: {r.shard for r in E.assign(rows, model, 0.98).where(f"key = {k}").collect()} for k in (0, 1)}
+    assert shards[0] & shards[1]
