@@ -4,12 +4,13 @@ In round j the j-th last symbol of every string that is long enough is put in fr
 suffix (Bauer, Cox and Rosone, 2013; with prefixes, Cox and others, 2016). The places of the new suffixes
 follow from the transform so far by counting symbols, their common prefixes from the least common
 prefix between two occurrences of a symbol. The transform, the prefixes and the suffixes' owners are
-files that each round reads once from the start and writes anew in order.
+files that each round reads once from the start and writes anew in order. Callers bound a collection's
+size, so the files are kept in the worker's memory and need no disk.
 """
 
 from __future__ import annotations
 
-import tempfile
+import io
 
 import numpy as np
 
@@ -17,36 +18,18 @@ _BLOCK = 64
 
 
 class Columns:
-    """The collection's columns as sequential files: symbol before, common prefix with the row above, suffix.
-
-    Files stay in memory up to MEMORY bytes each and then lie on the worker's own disk.
-    """
+    """The collection's columns as sequential files in memory: symbol before, common prefix with the row above, suffix."""
 
     KINDS = (np.int32, np.uint8, np.int32)
-    MEMORY = 16 << 20
 
-    def __init__(self, folder: str | None = None):
-        self.folder, self.files = folder, []
+    def __init__(self):
+        self.files: list[io.BytesIO] = []
 
     def write(self, *arrays: np.ndarray) -> None:
-        new = []
-        for a, kind in zip(arrays, self.KINDS):
-            f = tempfile.SpooledTemporaryFile(self.MEMORY, dir=self.folder)
-            f.write(memoryview(np.ascontiguousarray(a, kind)))
-            new.append(f)
-        self.close()
-        self.files = new
+        self.files = [io.BytesIO(memoryview(np.ascontiguousarray(a, kind)).cast("B")) for a, kind in zip(arrays, self.KINDS)]
 
     def read(self) -> list[np.ndarray]:
-        out = []
-        for f, kind in zip(self.files, self.KINDS):
-            f.seek(0)
-            out.append(np.frombuffer(f.read(), kind))
-        return out
-
-    def close(self) -> None:
-        for f in self.files:
-            f.close()
+        return [np.frombuffer(f.getbuffer(), kind) for f, kind in zip(self.files, self.KINDS)]
 
 
 def range_minima(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -119,12 +102,12 @@ def block_codes(buf: np.ndarray, block: int) -> tuple[np.ndarray, int]:
     return code, bits
 
 
-def equal_windows(strings: list[bytes], width: int, block: int = 1, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def equal_windows(strings: list[bytes], width: int, block: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of every window of `width` bytes; equal classes mean equal bytes.
 
     A symbol is a block of bytes, of which a window holds a whole number; a string takes part once for each
     offset at which blocks may begin, so a larger block means fewer rounds over as many suffixes. Strings
-    may have at most 127 symbols. The end of a string equals nothing.
+    may have at most 127 symbols, and 2**24 suffixes in all. The end of a string equals nothing.
     """
     if width % block:
         raise ValueError("a window must be made of whole blocks")
@@ -139,11 +122,11 @@ def equal_windows(strings: list[bytes], width: int, block: int = 1, folder: str
         raise ValueError("too long or too many strings")
     code, bits = block_codes(buf, block)
     at = np.repeat(begin[owner] + offset, symbols) + block * (np.arange(int(symbols.sum())) - np.repeat(np.cumsum(symbols) - symbols, symbols))
-    which, start, group = equal_runs(code[at].astype(np.int32), symbols, width // block, bits, folder)
+    which, start, group = equal_runs(code[at].astype(np.int32), symbols, width // block, bits)
     return owner[which], offset[which] + block * start, group
 
 
-def equal_runs(text: np.ndarray, size: np.ndarray, width: int, bits: int, folder: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def equal_runs(text: np.ndarray, size: np.ndarray, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, start, class) of the runs of `width` symbols in strings of the given sizes, laid end to end in text.
 
     Symbols are 1 and more, below 2**bits; 0 marks ends. This is the column-wise construction.
@@ -153,7 +136,7 @@ def equal_runs(text: np.ndarray, size: np.ndarray, width: int, bits: int, folder
         z = np.zeros(0, np.int64)
         return z, z, z
     end = np.cumsum(size)
-    columns = Columns(folder)
+    columns = Columns()
     columns.write(np.where(size > 0, text[np.maximum(end - 1, 0)] if len(text) else 0, 0), np.zeros(m, np.uint8), np.arange(m, dtype=np.int64) << 7)
     place = np.arange(m)  # of each string's last inserted suffix
     for j in range(1, int(size.max()) + 1):
@@ -190,7 +173,6 @@ def equal_runs(text: np.ndarray, size: np.ndarray, width: int, bits: int, folder
         place[active] = target
         columns.write(new_before, new_prefix, new_suffix)
     _, prefix, suffix = columns.read()
-    columns.close()
     which, length = (suffix >> 7).astype(np.int64), (suffix & 127).astype(np.int64)
     group = np.cumsum(prefix < width)
     long = length >= width

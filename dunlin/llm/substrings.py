@@ -8,12 +8,20 @@ all of the data, so the collection is first cut where equal strings must agree:
 start next to each other mostly share theirs and make up one short piece. Anchors that occur in one
 document only need no more work. The pieces of the others, each different piece once with its smallest
 id, are dealt into shards by anchor, and there the column-wise construction (dunlin.llm.bwt) puts their
-suffixes in order and finds the equal strings. An anchor with very many different pieces is split by
-the strings themselves, each aggregated to its smallest id.
+suffixes in order and finds the equal strings.
+
+An anchor with more than `PIECES_MOST` different pieces is split, however many they are: a string that
+starts far before its anchor shares more with its like on the left, any other more on the right, so
+each piece becomes at most two, of the strings of one kind, under a core that is longer than the anchor.
+Equal strings stay together. Cores that are still too common are split again; after five splits
+a core is a whole string and has one piece. So a task's work is bounded by size, and all strings are put
+in order by the same construction.
 
 Texts are their UTF-8 bytes; null counts as empty. Rows with a null id neither lose bytes nor make others
-lose any; rows that share an id do not take from each other. Pieces count as equal when their 64-bit
-hashes are. Matches never cross documents.
+lose any; rows that share an id do not take from each other and are told apart by a 64-bit hash of their
+texts. An anchor's pieces are told apart by their bytes when put in order, and are found again by 64-bit
+hashes of anchor and piece: of an anchor's n pieces two are confused with a chance of n * n / 2**65.
+Matches never cross documents.
 """
 
 from __future__ import annotations
@@ -34,8 +42,8 @@ WIDTH, GRAM = 50, 20
 STEP = 4 << 20
 #: Bytes that make up a symbol of the column-wise construction; it divides WIDTH.
 SYMBOL = 10
-#: Different pieces of one anchor that a shard may hold, and pieces of a shard on average.
-PIECES_MOST, SHARD = 2048, 8192
+#: Different pieces of one anchor that are put in order together, and pieces of a shard on average.
+PIECES_MOST, SHARD = 2048, 4096
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -47,8 +55,8 @@ def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
 
 
 def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int = GRAM, step: int = STEP):
-    """(row, start, end, anchor hash) of the pieces: runs of strings of one row with the same anchor."""
-    rows, starts, ends, anchors = [], [], [], []
+    """(row, start, end, anchor hash, anchor's place) of the pieces: runs of strings of one row with the same anchor."""
+    rows, starts, ends, anchors, places = [], [], [], [], []
     wide = width - gram + 1
     mask = np.uint64(0xFFFFFF)
     sizes = np.diff(offsets)
@@ -76,10 +84,11 @@ def pieces(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, gram: int =
         starts.append(first + lo)
         ends.append(last + lo + width)
         anchors.append(g[place[first]])
+        places.append(place[first].astype(np.int64) + lo)
     if not rows:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
-    return tuple(map(np.concatenate, (rows, starts, ends, anchors)))
+        return z, z, z, np.zeros(0, np.uint64), z
+    return tuple(map(np.concatenate, (rows, starts, ends, anchors, places)))
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
-                row, _, _, h = pieces(*utf8(batch.column("text")))
+                row, _, _, h, _ = pieces(*utf8(batch.column("text")))
                 ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], names=["id", "hs"])
 
@@ -97,60 +106,96 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
 
 def _cut(wanted: DataFrame) -> DataFrame:
-    """(h, s, piece, id, key, start) of the pieces whose anchors a row wants: (id, key, text, hs)."""
+    """(h, s, piece, at, id, key, start) of the pieces whose anchors a row wants: (id, key, text, hs); at: the anchor's place in the piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 buf, offsets = utf8(batch.column("text"))
-                row, start, end, h = pieces(buf, offsets)
+                row, start, end, h, place = pieces(buf, offsets)
                 lists = batch.column("hs")
                 want_row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
                 want = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 pair = mix(want ^ mix(want_row.astype(np.uint64)))
                 ok = np.isin(mix(h ^ mix(row.astype(np.uint64))), pair)
-                row, start, end, h = row[ok], start[ok], end[ok], h[ok]
+                row, start, end, h, place = row[ok], start[ok], end[ok], h[ok], place[ok]
                 raw = buf.tobytes()
                 texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist())]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(span_hashes(buf, start, end).view(np.int64)), pa.array(texts, pa.binary()), batch.column("id").take(take), batch.column("key").take(take), pa.array((start - offsets[row]).astype(np.int64))],
-                    names=["h", "s", "piece", "id", "key", "start"],
-                )
+                    [
+                        pa.array(h.view(np.int64)), pa.array(span_hashes(buf, start, end).view(np.int64)), pa.array(texts, pa.binary()), pa.array((place - start).astype(np.int32)),
+                        batch.column("id").take(take), batch.column("key").take(take), pa.array((start - offsets[row]).astype(np.int64)),
+                    ],
+                    names=["h", "s", "piece", "at", "id", "key", "start"],
+                )
 
     kind = wanted.schema["id"].dataType.simpleString()
-    return wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, s bigint, piece binary, id {kind}, key int, start bigint")
+    return wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, s bigint, piece binary, at int, id {kind}, key bigint, start bigint")
 
 
-def _ordered(distinct: DataFrame, shards: int) -> DataFrame:
-    """(s, offset, length, least): the runs of the pieces' strings with their smallest ids; several pieces an anchor."""
+def _ordered(distinct: DataFrame, shards: int, chunk: int) -> DataFrame:
+    """(h, s, offset, length, least): the runs of the pieces' strings with their smallest ids."""
     kind = distinct.schema["id"].dataType.simpleString()
 
     def order(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks()
-        s, ids = t.column("s").to_numpy(), t.column("id").to_numpy()
-        owner, start, group = equal_windows(t.column("piece").to_pylist(), WIDTH, SYMBOL)
-        bound = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        low = np.repeat(np.minimum.reduceat(ids[owner], bound), np.diff(np.append(bound, len(group))))
-        o = np.lexsort((start, owner))
-        owner, start, low = owner[o], start[o], low[o]
-        edge = np.append(True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1))
-        at = np.flatnonzero(edge)
-        length = np.diff(np.append(at, len(edge)))
-        return pa.table({"s": pa.array(s[owner[at]]), "offset": pa.array(start[at].astype(np.int32)), "length": pa.array(length.astype(np.int32)), "least": pa.array(low[at])})
-
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "s", "piece", "id")
-    return dealt.groupBy("shard").applyInArrow(order, f"s bigint, offset int, length int, least {kind}")
-
-
-def _windows(pieces_: DataFrame) -> DataFrame:
-    """The strings of pieces, each as a piece of its own under a hash of its bytes."""
-    at = F.explode(F.sequence(F.lit(0), F.length("piece") - WIDTH))
-    out = pieces_.select("id", "key", "start", "piece", at.alias("o")).withColumn("piece", F.expr(f"substring(piece, o + 1, {WIDTH})"))
-    return out.select(F.xxhash64(F.lit("string"), "piece").alias("s"), "piece", "id", "key", (F.col("start") + F.col("o")).alias("start"))
-
-
-def removed_spans(docs: DataFrame) -> DataFrame:
+        h = t.column("h").to_numpy()
+        t = t.take(pa.array(np.argsort(h, kind="stable"))).combine_chunks()
+        h, s, ids, last = (t.column(c).to_numpy() for c in ("h", "s", "id", "last"))
+        size, buf = np.diff(piece_ends(t.column("piece"))), t.column("piece").chunk(0)
+        edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        count = np.diff(np.append(edge, len(h)))
+        both = np.minimum.reduceat(ids, edge) < np.maximum.reduceat(last, edge)  # in several documents
+        alone = edge[both & (count == 1)]
+        out = [(alone, np.zeros(len(alone), np.int64), size[alone] - (WIDTH - 1), ids[alone])]
+        several = np.flatnonzero(np.repeat(both & (count > 1), count))
+        begin = np.flatnonzero(np.append(True, h[several][1:] != h[several][:-1])) if len(several) else np.zeros(0, np.int64)
+        lo = 0
+        while lo < len(several):  # so many whole anchors as make up a chunk
+            k = int(np.searchsorted(begin, lo + chunk))
+            hi = int(begin[k]) if k < len(begin) else len(several)
+            out.append(_runs(buf, several[lo:hi], ids))
+            lo = hi
+        at, offset, length, low = map(np.concatenate, zip(*out))
+        return pa.table({"h": pa.array(h[at]), "s": pa.array(s[at]), "offset": pa.array(offset.astype(np.int32)), "length": pa.array(length.astype(np.int32)), "least": pa.array(low, t.schema.field("id").type)})
+
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "h", "s", "piece", "id", "last")
+    return dealt.groupBy("shard").applyInArrow(order, f"h bigint, s bigint, offset int, length int, least {kind}")
+
+
+def piece_ends(column: pa.ChunkedArray) -> np.ndarray:
+    arr = column.chunk(0)
+    wide = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
+    return np.frombuffer(arr.buffers()[1], wide)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
+
+
+def _runs(piece: pa.Array, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, offset, length, smallest id) of the runs of strings with one smallest id."""
+    owner, start, group = equal_windows(piece.take(pa.array(rows)).to_pylist(), WIDTH, SYMBOL)
+    ids = ids[rows]
+    bound = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    low = np.repeat(np.minimum.reduceat(ids[owner], bound), np.diff(np.append(bound, len(group))))
+    o = np.lexsort((start, owner))
+    owner, start, low = owner[o], start[o], low[o]
+    at = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (start[1:] != start[:-1] + 1)))
+    return rows[owner[at]], start[at], np.diff(np.append(at, len(owner))), low[at]
+
+
+def _halves(pieces_: DataFrame, keep: list[str]) -> DataFrame:
+    """Pieces (h, piece, at, k) as at most two each, of the strings that start before and after half of the k places.
+
+    k: the number of places before the core at which a string may start. `moved` is where a part begins in its piece.
+    """
+    n, right = f"(length(piece) - {WIDTH - 1})", "((k + 1) div 2)"
+    low, top = f"greatest(0, at - {right} + 1)", f"least({n} - 1, at - {right})"
+    later = f"struct(0 as side, substring(piece, int({low}) + 1) as piece, int(at - {low}) as at, int({right}) as k, int({low}) as moved, substring(piece, at + 1, int({WIDTH + 1} - {right})) as core)"
+    earlier = f"struct(1 as side, substring(piece, 1, int({top} + {WIDTH})) as piece, int(at - {right}) as at, int(k - {right}) as k, 0 as moved, substring(piece, int(at - {right}) + 1, int({WIDTH + 1} - (k - {right}))) as core)"
+    both = f"filter(array(if({low} < {n}, {later}, null), if({top} >= 0, {earlier}, null)), x -> x is not null)"
+    parts = pieces_.select("h", *keep, F.explode(F.expr(both)).alias("x"))
+    return parts.select(F.xxhash64("h", "x.side", "x.core").alias("h"), F.xxhash64("x.piece").alias("s"), "x.piece", "x.at", "x.k", "x.moved", *keep)
+
+
+def removed_spans(docs: DataFrame, most: int = PIECES_MOST, shard: int = SHARD) -> DataFrame:
     """(id, key, spans): the starts and ends of the strings that go, for rows (id, key, text) that lose any.
 
     A hash join is asked for where one side is much larger than the other, which saves sorting it; each
@@ -166,36 +211,44 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     discard(shared)
     cut = materialize(_cut(docs.join(wanted.hint("shuffle_hash"), "id")), "pieces")
     discard(wanted)
-    distinct = materialize(cut.groupBy("h", "s", "piece").agg(F.min("id").alias("id"), F.max("id").alias("last")), "distinct")
-    per = distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b"), F.max(F.length("piece")).alias("size"), F.max("s").alias("s"))
-    counts = materialize(per.where("a < b"), "counts")
-    single = counts.where("n = 1").select("s", F.lit(0).alias("offset"), (F.col("size") - (WIDTH - 1)).alias("length"), F.col("a").alias("least"))
-    several = counts.where(f"n between 2 and {PIECES_MOST}")
-    # written, so that Spark knows its size and moves the pieces only if it is too large to send to all
-    hot = materialize(counts.where(f"n > {PIECES_MOST}").select("h"), "hot")
-    rows = several.agg(F.sum("n")).first()[0] or 0
-    few = _ordered(distinct.select("h", "s", "piece", "id").join(several.select("h").hint("shuffle_hash"), "h"), max(rows // SHARD, 1))
-    split = _windows(cut.join(hot, "h"))
-    strings = split.groupBy("s", "piece").agg(F.min("id").alias("least")).select("s", F.lit(0).alias("offset"), F.lit(1).alias("length"), "least")
-    runs = materialize(single.union(few).union(strings), "runs")
+
+    level = cut.withColumn("k", F.lit(WIDTH - GRAM + 1))
+    pieces_ = level.withColumn("last", F.col("id"))
+    where, runs, used = [], [], [cut]
+    while True:
+        distinct = materialize(pieces_.groupBy("h", "s", "piece").agg(F.min("id").alias("id"), F.max("last").alias("last"), F.min("at").alias("at"), F.min("k").alias("k")), "distinct")
+        # written, so that Spark knows its size and moves the pieces only if it is too large to send to all
+        hot = materialize(distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b")).where(f"n > {most} and a < b").select("h"), "hot")
+        rest = distinct.join(hot, "h", "left_anti")
+        runs.append(materialize(_ordered(rest, max(distinct.count() // shard, 1), shard), "runs"))
+        where.append(level.select("h", "s", "id", "key", "start"))
+        if hot.isEmpty():
+            break
+        # what is split here is written before the pieces that it comes from go
+        found = materialize(_halves(distinct.join(hot, "h"), ["id", "last"]).drop("moved"), "halves")
+        split = _halves(level.join(hot, "h"), ["id", "key", "start"])
+        level = materialize(split.withColumn("start", F.col("start") + F.col("moved")).drop("moved"), "halves")
+        discard(distinct)
+        used += [hot, found, level]
+        pieces_ = found
     discard(distinct)
-    discard(counts)
-    where = cut.select("s", "id", "key", "start").union(split.select("s", "id", "key", "start"))
     begin = F.col("start") + F.col("offset")
-    hits = where.join(runs.hint("shuffle_hash"), "s").where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
+    all_where, all_runs = where[0], runs[0]
+    for w, r in zip(where[1:], runs[1:]):
+        all_where, all_runs = all_where.union(w), all_runs.union(r)
+    hits = all_where.join(all_runs.hint("shuffle_hash"), ["h", "s"]).where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
     spans = materialize(hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
-    discard(cut)
-    discard(runs)
-    discard(hot)
+    for t in [*used, *runs, hot]:
+        discard(t)
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", digests: bool = False, most: int = PIECES_MOST) -> DataFrame:
     """id, n_bytes, n_removed, n_spans and the remaining bytes (kept), or their SHA-256 (kept_sha256), of every row."""
     bounded_batches(docs.sparkSession)
-    # rows that share an id are told apart by a short hash of their texts
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.hash("text").alias("key"), "text")
-    spans = removed_spans(source)
+    # rows that share an id are told apart by a hash of their texts
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64("text").alias("key"), "text")
+    spans = removed_spans(source, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

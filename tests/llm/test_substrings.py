@@ -53,24 +53,31 @@ def test_equals_brute_force(spark):
         assert out == brute(rows)
 
 
-def test_hot_anchor_is_split_and_kept_bytes(spark, monkeypatch):
-    monkeypatch.setattr(S, "PIECES_MOST", 3)
+def test_hot_anchors_are_split_and_kept_bytes(spark):
     rnd = random.Random(4)
     line = "Licensed under the Some License, Version 2.0. "
     rows = [(k, f"{rnd.random()} {line}{rnd.random()} tail") for k in range(40)] + [(100 + k, line * 3) for k in range(3)]
+    rows += [(200 + k, f"{k % 5} more {line}and {k % 7} ends so") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in S.remove_repeats(df, digests=True).collect()), key=str) == brute(rows)
+    for most in (1, 3, 1000):  # down to whole strings, some splits, none
+        assert sorted((tuple(r) for r in S.remove_repeats(df, digests=True, most=most).collect()), key=str) == brute(rows)
     full = {r.doc_id: r for r in S.remove_repeats(df).collect()}
     assert full[0].kept == rows[0][1].encode() and full[102].n_removed == len(line) * 3
 
 
+def test_every_split_equals_brute_force(spark):
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in S.remove_repeats(df, digests=True, most=1).collect()), key=str) == brute(rows)
+
+
 def test_steps_and_empty(spark):
     rng = np.random.default_rng(0)
     text = rng.integers(97, 101, 5000, dtype=np.uint8)
     off = np.array([0, 1200, 1200, 1240, 5000])
 
     def strings(step):
-        row, a, b, h = S.pieces(text, off, step=step)
+        row, a, b, h, _ = S.pieces(text, off, step=step)
         return {(r, p, int(x)) for r, s, e, x in zip(row.tolist(), a.tolist(), b.tolist(), h) for p in range(s, e - 49)}
 
     assert strings(1 << 20) == strings(64)
