@@ -44,6 +44,8 @@ STEP = 4 << 20
 SYMBOL = 10
 #: Different pieces of one anchor that are put in order together, and pieces of a shard on average.
 PIECES_MOST, SHARD = 2048, 4096
+#: Parts, by anchor, in which the pieces are handled one after another; more of them need less disk at once.
+PARTS = 2
 
 
 def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -212,35 +214,44 @@ def removed_spans(docs: DataFrame, most: int = PIECES_MOST, shard: int = SHARD)
     cut = materialize(_cut(docs.join(wanted.hint("shuffle_hash"), "id")), "pieces")
     discard(wanted)
 
+    hits = [_hits(cut.where(F.pmod("h", F.lit(PARTS)) == part), most, shard) for part in range(PARTS)]
+    discard(cut)
+    found = hits[0]
+    for more in hits[1:]:
+        found = found.union(more)
+    spans = materialize(found.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
+    for t in hits:
+        discard(t)
+    return spans
+
+
+def _hits(cut: DataFrame, most: int, shard: int) -> DataFrame:
+    """(id, key, a, b): the runs of strings of pieces that also start in a document with a smaller id."""
     level = cut.withColumn("k", F.lit(WIDTH - GRAM + 1))
     pieces_ = level.withColumn("last", F.col("id"))
-    where, runs, used = [], [], [cut]
+    where, runs, used = None, None, []
     while True:
         distinct = materialize(pieces_.groupBy("h", "s", "piece").agg(F.min("id").alias("id"), F.max("last").alias("last"), F.min("at").alias("at"), F.min("k").alias("k")), "distinct")
         # written, so that Spark knows its size and moves the pieces only if it is too large to send to all
         hot = materialize(distinct.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("last").alias("b")).where(f"n > {most} and a < b").select("h"), "hot")
-        rest = distinct.join(hot, "h", "left_anti")
-        runs.append(materialize(_ordered(rest, max(distinct.count() // shard, 1), shard), "runs"))
-        where.append(level.select("h", "s", "id", "key", "start"))
+        ordered = materialize(_ordered(distinct.join(hot, "h", "left_anti"), max(distinct.count() // shard, 1), shard), "runs")
+        here = level.select("h", "s", "id", "key", "start")
+        where, runs = (here, ordered) if runs is None else (where.union(here), runs.union(ordered))
+        used += [hot, ordered]
         if hot.isEmpty():
+            discard(distinct)
             break
-        # what is split here is written before the pieces that it comes from go
-        found = materialize(_halves(distinct.join(hot, "h"), ["id", "last"]).drop("moved"), "halves")
+        pieces_ = materialize(_halves(distinct.join(hot, "h"), ["id", "last"]).drop("moved"), "halves")
         split = _halves(level.join(hot, "h"), ["id", "key", "start"])
         level = materialize(split.withColumn("start", F.col("start") + F.col("moved")).drop("moved"), "halves")
         discard(distinct)
-        used += [hot, found, level]
-        pieces_ = found
-    discard(distinct)
+        used += [pieces_, level]
     begin = F.col("start") + F.col("offset")
-    all_where, all_runs = where[0], runs[0]
-    for w, r in zip(where[1:], runs[1:]):
-        all_where, all_runs = all_where.union(w), all_runs.union(r)
-    hits = all_where.join(all_runs.hint("shuffle_hash"), ["h", "s"]).where("least < id").select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b"))
-    spans = materialize(hits.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
-    for t in [*used, *runs, hot]:
+    hits = where.join(runs.hint("shuffle_hash"), ["h", "s"]).where("least < id")
+    out = materialize(hits.select("id", "key", begin.alias("a"), (begin + F.col("length") + (WIDTH - 1)).alias("b")), "hits")
+    for t in used:
         discard(t)
-    return spans
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", digests: bool = False, most: int = PIECES_MOST) -> DataFrame:
