@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.bwt import equal_windows
-from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, span_hashes, text_slices, utf8
+from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, text_slices, utf8
 
 WIDTH, GRAM = 50, 20
-#: Bytes of one step of the anchor search; longer documents take several, which overlap by a string.
-STEP = 4 << 20
+#: Bytes of one step of the anchor search, which stay in a core's cache; longer documents take several, which overlap by a string.
+STEP = 1 << 16
 #: Bytes that make up a symbol of the column-wise construction; it divides WIDTH.
 SYMBOL = 10
 #: Different pieces of one anchor that are put in order together, and pieces of a shard on average.
@@ -126,14 +126,15 @@ def _cut(wanted: DataFrame) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(h.view(np.int64)), pa.array(span_hashes(buf, start, end).view(np.int64)), pa.array(texts, pa.binary()), pa.array((place - start).astype(np.int32)),
+                        pa.array(h.view(np.int64)), pa.array(texts, pa.binary()), pa.array((place - start).astype(np.int32)),
                         batch.column("id").take(take), batch.column("key").take(take), pa.array((start - offsets[row]).astype(np.int64)),
                     ],
-                    names=["h", "s", "piece", "at", "id", "key", "start"],
+                    names=["h", "piece", "at", "id", "key", "start"],
                 )
 
     kind = wanted.schema["id"].dataType.simpleString()
-    return wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, s bigint, piece binary, at int, id {kind}, key bigint, start bigint")
+    found = wanted.select("id", "key", "text", "hs").mapInArrow(run, f"h bigint, piece binary, at int, id {kind}, key bigint, start bigint")
+    return found.withColumn("s", F.xxhash64("piece"))
 
 
 def _ordered(distinct: DataFrame, shards: int, chunk: int) -> DataFrame:
