@@ -8,7 +8,9 @@ all of the data, so the collection is first cut where equal strings must agree:
 start next to each other mostly share theirs and make up one short piece. Anchors that occur in one
 document only need no more work. The pieces of the others, each different piece once with its smallest
 id, are dealt into shards by anchor, and there the column-wise construction (dunlin.llm.bwt) puts their
-suffixes in order and finds the equal strings.
+suffixes in order and finds the equal strings. Of any string of 50 bytes around an anchor of 20, the 16 bytes
+before the anchor or the 15 after it belong to the string, so a piece that has neither of these longer
+cores in common with another of its anchor shares no string and needs no order.
 
 An anchor with more than `PIECES_MOST` different pieces is split, however many they are: a string that
 starts far before its anchor shares more with its like on the left, any other more on the right, so
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.bwt import equal_windows
-from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, text_slices, utf8
+from dunlin.llm.common import bounded_batches, discard, materialize, mix, powers, span_hashes, text_slices, utf8
 
 WIDTH, GRAM = 50, 20
 #: Bytes of one step of the anchor search, which stay in a core's cache; longer documents take several, which overlap by a string.
@@ -144,30 +146,52 @@ def _ordered(distinct: DataFrame, shards: int, chunk: int) -> DataFrame:
     def order(t: pa.Table) -> pa.Table:
         h = t.column("h").to_numpy()
         t = t.take(pa.array(np.argsort(h, kind="stable"))).combine_chunks()
-        h, s, ids, last = (t.column(c).to_numpy() for c in ("h", "s", "id", "last"))
-        size, buf = np.diff(piece_ends(t.column("piece"))), t.column("piece").chunk(0)
+        h, s, ids, last, at, k = (t.column(c).to_numpy() for c in ("h", "s", "id", "last", "at", "k"))
+        piece = t.column("piece").chunk(0)
+        ends = piece_ends(piece)
+        size = np.diff(ends)
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(edge, len(h)))
         both = np.minimum.reduceat(ids, edge) < np.maximum.reduceat(last, edge)  # in several documents
-        alone = edge[both & (count == 1)]
+        group = np.repeat(np.arange(len(edge)), count)
+        like = np.repeat(both & (count > 1), count)
+        like[like] = alike(piece, ends, group, at, k, np.flatnonzero(like))
+        # a piece that shares no string with others is one run if it stands in several documents
+        alone = np.flatnonzero(~like & (ids < last))
         out = [(alone, np.zeros(len(alone), np.int64), size[alone] - (WIDTH - 1), ids[alone])]
-        several = np.flatnonzero(np.repeat(both & (count > 1), count))
-        begin = np.flatnonzero(np.append(True, h[several][1:] != h[several][:-1])) if len(several) else np.zeros(0, np.int64)
+        several = np.flatnonzero(like)
+        begin = np.flatnonzero(np.append(True, group[several][1:] != group[several][:-1])) if len(several) else np.zeros(0, np.int64)
         lo = 0
         while lo < len(several):  # so many whole anchors as make up a chunk
-            k = int(np.searchsorted(begin, lo + chunk))
-            hi = int(begin[k]) if k < len(begin) else len(several)
-            out.append(_runs(buf, several[lo:hi], ids))
+            n = int(np.searchsorted(begin, lo + chunk))
+            hi = int(begin[n]) if n < len(begin) else len(several)
+            out.append(_runs(piece, several[lo:hi], ids))
             lo = hi
-        at, offset, length, low = map(np.concatenate, zip(*out))
-        return pa.table({"h": pa.array(h[at]), "s": pa.array(s[at]), "offset": pa.array(offset.astype(np.int32)), "length": pa.array(length.astype(np.int32)), "least": pa.array(low, t.schema.field("id").type)})
+        row, offset, length, low = map(np.concatenate, zip(*out))
+        return pa.table({"h": pa.array(h[row]), "s": pa.array(s[row]), "offset": pa.array(offset.astype(np.int32)), "length": pa.array(length.astype(np.int32)), "least": pa.array(low, t.schema.field("id").type)})
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "h", "s", "piece", "id", "last")
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).select("shard", "h", "s", "piece", "id", "last", "at", "k")
     return dealt.groupBy("shard").applyInArrow(order, f"h bigint, s bigint, offset int, length int, least {kind}")
 
 
-def piece_ends(column: pa.ChunkedArray) -> np.ndarray:
-    arr = column.chunk(0)
+def alike(piece: pa.Array, ends: np.ndarray, group: np.ndarray, at: np.ndarray, k: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Which of the rows' pieces may share a string with another of their anchor: those that share one of the two longer cores."""
+    data = piece.buffers()[2]
+    buf = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    begin, size = ends[rows] - ends[0], ends[rows + 1] - ends[rows]
+    right = (k[rows] + 1) // 2
+    out = np.zeros(len(rows), bool)
+    for lead, length in ((np.zeros(len(rows), np.int64), WIDTH + 1 - right), (right, WIDTH + 1 - (k[rows] - right))):
+        first = at[rows] - lead
+        has = np.flatnonzero((first >= 0) & (first + length <= size))
+        a = begin[has] + first[has]
+        core = mix(span_hashes(buf, a, a + length[has]) ^ mix(group[rows[has]].astype(np.uint64)))
+        _, which, n = np.unique(core, return_inverse=True, return_counts=True)
+        out[has[n[which] > 1]] = True
+    return out
+
+
+def piece_ends(arr: pa.Array) -> np.ndarray:
     wide = np.int64 if pa.types.is_large_binary(arr.type) else np.int32
     return np.frombuffer(arr.buffers()[1], wide)[arr.offset : arr.offset + len(arr) + 1].astype(np.int64)
 
@@ -208,7 +232,8 @@ def removed_spans(docs: DataFrame, most: int = PIECES_MOST, shard: int = SHARD)
     anchors = materialize(_anchors(docs), "anchors", "lz4")
     each = anchors.select("id", F.explode("hs").alias("h"))
     shared = materialize(each.groupBy("h").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("h"), "shared")
-    wanted = each.join(shared.hint("shuffle_hash"), "h").groupBy("id").agg(F.collect_set("h").alias("hs"))  # of one document
+    # of one document; dealt before they are gathered, as gathering twice would cost more than it saves
+    wanted = each.join(shared.hint("shuffle_hash"), "h").repartition("id").groupBy("id").agg(F.collect_list("h").alias("hs"))
     wanted = materialize(wanted, "wanted", "lz4")
     discard(anchors)
     discard(shared)
@@ -220,7 +245,7 @@ def removed_spans(docs: DataFrame, most: int = PIECES_MOST, shard: int = SHARD)
     found = hits[0]
     for more in hits[1:]:
         found = found.union(more)
-    spans = materialize(found.groupBy("id", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # of one document
+    spans = materialize(found.repartition("id", "key").groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")  # of one document
     for t in hits:
         discard(t)
     return spans
