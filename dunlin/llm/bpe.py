@@ -7,6 +7,9 @@ was pushed is stale and skipped. Decoding joins the vocabulary's strings.
 The word-ended vocabulary file gives vocabulary, merges, end-of-word mark and special
 strings. A null text counts as empty and has no tokens; a text of any length is encoded
 whole; words are kept with their tokens in a dictionary of bounded size, since words repeat.
+
+Letters, numbers, lower case and composition are those of the library's own Unicode tables, which are not
+Python's: the driver asks the library for what differs (`unicode_tables`) and sends it to the tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +57,43 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Tables(NamedTuple):
+    letters: str  # ranges, as in a character class
+    numbers: str
+    lower: dict[int, str]  # lower case where it is not Python's
+    newer: str  # ranges that Python's composition may not know
+
+
+def _ranges(points: list[int]) -> str:
+    a = np.array(sorted(points))
+    cut = np.flatnonzero(np.diff(a) > 1)
+    first, last = a[np.append(0, cut + 1)], a[np.append(cut, len(a) - 1)]
+    return "".join(f"{re.escape(chr(x))}-{re.escape(chr(y))}" for x, y in zip(first.tolist(), last.tolist()))
+
+
+@lru_cache
+def unicode_tables() -> Tables:
+    """Character classes and lower case as the library has them, found by asking it for all code points in question."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    known = "".join(regex.findall(r"[\p{L}\p{N}]", every))
+
+    def of(kind: str) -> list[int]:
+        parts = pre_tokenizers.Split(Regex(rf"[^\p{{{kind}}}]+"), "removed").pre_tokenize_str(known)
+        return [ord(c) for part, _ in parts for c in part]
+
+    lower = normalizers.Lowercase().normalize_str
+    cased = regex.findall(r"[\p{Lu}\p{Lt}\p{Other_Uppercase}]", every)
+    unlike = {ord(c): lower(c) for c in cased if lower(c) != c.lower()} | {0x3A3: "\u03c3"}  # no final sigma
+    newer = [ord(c) for c in regex.findall(r"\P{Cn}", every) if unicodedata.category(c) == "Cn"]
+    return Tables(_ranges(of("L")), _ranges(of("N")), unlike, _ranges(newer) if newer else "")
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file."""
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, tables: Tables | None = None):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -77,10 +115,15 @@ class Bpe:
         self.first = [self.vocab.get(x, -1) for x in letters]
         self.last = [self.vocab.get(x + self.mark, -1) for x in letters]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = self.find_latin = regex.compile(split.replace(r"\s", r"\p{White_Space}")).findall
+        t = tables or unicode_tables()
+        self.lower, self.newer = t.lower, re.compile(f"[{t.newer}]").search if t.newer else lambda text: None
+        self.unlike = re.compile(f"[{_ranges([*t.lower])}]").search
+        blanks = "".join(map(re.escape, filter(str.isspace, map(chr, range(0x3001))))).translate({c: None for c in range(0x1C, 0x20)})
         if split == CLIP_SPLIT:
-            self.find = regex.compile(rf"\p{{L}}+|{CONTRACTION}|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+").findall
+            self.find = re.compile(f"[{t.letters}]+|{CONTRACTION}|[{t.numbers}]|[^{blanks}{t.letters}{t.numbers}]+").findall
             self.find_latin = re.compile(f"[{LATIN_LETTERS}]+|{CONTRACTION}|[{LATIN_NUMBERS}]|[^{LATIN_LETTERS}{LATIN_NUMBERS}{LATIN_BLANKS}]+").findall
+        else:
+            self.find = self.find_latin = regex.compile(split.replace(r"\p{L}", t.letters).replace(r"\p{N}", t.numbers).replace(r"\s", blanks)).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.words = _Words(self, cache_words)
 
@@ -137,7 +180,14 @@ class Bpe:
 
     def _plain(self, text: str) -> bytes:
         if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma
+            if self.newer(text):
+                from tokenizers import normalizers
+
+                text = normalizers.NFC().normalize_str(text)
+            else:
+                text = unicodedata.normalize("NFC", text)
+            if self.unlike(text):
+                text = text.translate(self.lower)
         text = text.lower()
         find = self.find_latin
         if not text.isascii():
@@ -183,10 +233,10 @@ class _Words(dict):
 _loaded: dict[str, Bpe] = {}
 
 
-def loaded(path: str) -> Bpe:
+def loaded(path: str, tables: Tables | None = None) -> Bpe:
     """The file's encoder, one for each worker."""
     if path not in _loaded:
-        _loaded[path] = Bpe(path)
+        _loaded[path] = Bpe(path, tables=tables)
     return _loaded[path]
 
 
@@ -196,10 +246,10 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str
     Rows keep their count: a repeated id gives a row each time. A narrow map: no shuffle.
     """
     bounded_batches(docs.sparkSession)
-    path = vocabulary or default_vocabulary()
+    path, tables = vocabulary or default_vocabulary(), unicode_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, tables)
         for whole in batches:
             for batch in text_slices(whole, text_col):
                 packed = [bpe.packed(text) for text in batch.column(text_col).to_pylist()]

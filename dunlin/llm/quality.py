@@ -3,8 +3,10 @@
 Each line is labelled good or bad from features of itself and of its neighbouring lines;
 forward-backward gives every line's marginal probability of being good, and the document's score is
 their mean weighted by line length. Training gives all lines of a document its label and weighs
-documents alike, on a bounded sample of labelled rows (`TRAIN_ROWS`, of each at most
-`TRAIN_LINES` lines); scoring reads every whole text.
+documents alike, on a bounded sample of labelled rows (`TRAIN_ROWS`), taken whole in the order of a hash of
+their id as long as they have at most `TRAIN_LINES` lines together. As neighbouring lines of training
+documents never differ in label, the fitted chain favours documents of one label; scoring reads every
+whole text.
 
 Only the text goes into a score. A null or empty text, or one of line ends only, counts as a single
 empty line and gets a score like any other row. Repeated rows are scored each. Without both labels in
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import LOWER, bounded_batches, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, bounded_batches, discard, materialize, span_hashes, text_slices, utf8, words
 
 #: Labelled rows that a model is fitted on at most, chosen by a hash of their id.
 TRAIN_ROWS = 2000
-#: Lines of a training row at most, from its start; scoring has no such limit.
-TRAIN_LINES = 32
+#: Lines of all training rows together at most; a row takes part with all its lines or not at all.
+TRAIN_LINES = 400_000
+#: Lines of a chain in training; longer documents make up several, of which all lines count.
+CHAIN = 64
 THRESHOLD = 0.7
 STEPS = 120
 
@@ -183,11 +187,12 @@ def fit(x: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS)
         return Model(np.zeros(2 * WIDTH), np.zeros((2, 2)), float(label.mean()) if len(label) else 0.5)
     count = np.diff(first)
     doc = np.repeat(np.arange(len(count)), count)
+    chains = np.unique(np.concatenate([first, *(np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:]))]))
     y, share = label[doc].astype(float), (1.0 / count)[doc] / len(count)
     theta, m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
     for step in range(1, steps + 1):
         w, trans = theta[:-4], theta[-4:].reshape(2, 2)
-        p, at, joint = forward_backward(x @ w, first, trans, pairs=True)
+        p, at, joint = forward_backward(x @ w, chains, trans, pairs=True)
         g = np.concatenate([x.T @ ((p - y) * share), (joint * share[at][:, None, None]).sum(0).ravel()])
         seen = np.zeros(4)
         np.add.at(seen, (y[at] * 3).astype(int), share[at])
@@ -203,8 +208,8 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
-    """A model from at most `rows` labelled rows that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, lines: int = TRAIN_LINES, id_col: str = "doc_id") -> Model:
+    """A model from at most `rows` labelled rows that are not held out, with at most `lines` lines together."""
     bounded_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(rows)
@@ -214,16 +219,26 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
         for whole in batches:
             for batch in text_slices(whole, "text"):
                 found = line_features(*utf8(batch.column("text")))
-                rows = [found.features[a : min(b, a + TRAIN_LINES)].astype("<f4").tobytes() for a, b in zip(found.first, found.first[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.binary())], names=["id", "quality", "lines"])
+                made = [found.features[a:b].astype("<f4").tobytes() for a, b in zip(found.first, found.first[1:])]
+                count = pa.array(np.diff(found.first).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("quality").cast(pa.int32()), count, pa.array(made, pa.binary())], names=["id", "quality", "n", "lines"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = picked.mapInArrow(run, f"id {kind}, quality int, lines binary").orderBy("id").limit(2 * rows).collect()
-    if not sample:
+    order = F.xxhash64("id")
+    sample = materialize(picked.mapInArrow(run, f"id {kind}, quality int, n bigint, lines binary"), "training")
+    sizes = sample.select(order.alias("at"), "n").orderBy("at", "n").limit(2 * rows).collect()
+    keep, total = set(), 0
+    for r in sizes:  # a document that does not fit is left out whole
+        if total + r.n <= lines:
+            keep.add(r["at"])
+            total += r.n
+    taken = sample.where(order.isin(list(keep)) & (F.col("n") <= lines)).orderBy(order, "n").limit(2 * rows).collect() if keep else []
+    discard(sample)
+    if not taken:
         return fit(np.zeros((0, 2 * WIDTH)), np.zeros(1, int), np.zeros(0))
-    parts = [np.frombuffer(r.lines, "<f4").reshape(-1, 2 * WIDTH) for r in sample]
+    parts = [np.frombuffer(r.lines, "<f4").reshape(-1, 2 * WIDTH) for r in taken]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return fit(np.concatenate(parts).astype(float), first, np.array([r.quality for r in sample]))
+    return fit(np.concatenate(parts).astype(float), first, np.array([r.quality for r in taken]))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:

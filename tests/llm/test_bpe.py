@@ -43,3 +43,15 @@ def test_documents(spark, bpe):
 
 def test_empty_table(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_every_code_point_as_the_library():
+    from tokenizers import Tokenizer
+
+    tok, bpe = Tokenizer.from_file(default_vocabulary()), Bpe(default_vocabulary())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 512):
+        text = " ".join(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}" for c in points[a : a + 512])
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert bpe.encode(text) == ids, hex(points[a])
+        assert bpe.decode(ids) == tok.decode(ids, skip_special_tokens=False)

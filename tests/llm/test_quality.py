@@ -65,3 +65,44 @@ def test_without_labels_and_rows(spark):
     one = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     assert Q.score_documents(docs, Q.train(docs, one)).count() == 3
     assert Q.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_training_reads_whole_texts_and_bounds_all_lines(spark):
+    # the first lines of all documents are alike; only later ones tell
+    rnd = random.Random(8)
+    text = lambda good: "\n".join([f"plain words stand here {k}." for k in range(80)] + [("good words and more of them." if good else "### $$$ !!! ###") for _ in range(rnd.randint(90, 200))])
+    rows = [(k, text(k % 2), k % 2) for k in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(900, "x\n" * 50_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows] + [(900, 1)], "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in Q.score_documents(docs, Q.train(docs, labels, lines=20_000)).collect()}
+    assert all((out[k] > 0.5) == q for k, _, q in rows)
+    x = np.random.default_rng(0).normal(size=(300, 2 * Q.WIDTH))
+    first, label = np.array([0, 150, 300]), np.array([0, 1])
+    whole = Q.fit(x, first, label, steps=5)
+    assert np.isfinite(whole.weights).all() and np.abs(whole.weights).max() > 0
+    assert [r.score for r in Q.score_documents(docs.limit(2), Q.train(docs, labels, lines=10)).collect()] == [0.5] * 2
+
+
+def test_score_is_the_weighted_mean_of_line_marginals():
+    rng = np.random.default_rng(3)
+    model = Q.Model(rng.normal(size=2 * Q.WIDTH), rng.normal(size=(2, 2)), -1.0)
+    texts = ["one line\nanother one!\nthird", "", "word " * 50 + "\nx"]
+    got = model.score(features(*texts))
+    for t, g in zip(texts, got):
+        lines = [x for x in t.split("\n") if x] or [""]
+        f = features(t)
+        logit = f.features @ model.weights
+        total, good = 0.0, np.zeros(len(lines))
+        for bits in range(1 << len(lines)):
+            y = [bits >> k & 1 for k in range(len(lines))]
+            e = math.exp(sum(logit[k] * y[k] for k in range(len(y))) + sum(model.trans[y[k], y[k + 1]] for k in range(len(y) - 1)))
+            total, good = total + e, good + e * np.array(y)
+        weight = np.array([max(len(x.encode()), 1) for x in lines])
+        assert abs(g - (good / total * weight).sum() / weight.sum()) < 1e-9
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 200_000, 5, "a"), (2, "line\n" * 100_000, 6, "b")], "doc_id long, text string, predicted int, quality string")
+    model = Q.Model(np.zeros(2 * Q.WIDTH), np.zeros((2, 2)), -1.0)
+    assert [abs(r.score - 0.5) < 1e-9 for r in Q.score_documents(docs, model).collect()] == [True, True]
+    assert Q.accepted(docs, model, 0.6).count() == 0 and Q.accepted(docs, model, 0.4).columns == docs.columns
