@@ -156,6 +156,11 @@ class Changes:
         self.store.put(table, df.withColumn(DELETED, F.when(hit, F.lit(deleted)).otherwise(F.col(DELETED))))
         return n
 
+    def mark_record(self, table: str, recno: int, deleted: bool) -> None:
+        """DELETE and RECALL of one record."""
+        df = self.store.frame(table)
+        self.store.put(table, df.withColumn(DELETED, F.when(F.col(RECNO) == recno, F.lit(deleted)).otherwise(F.col(DELETED))))
+
     def pack(self, table: str) -> int:
         """Removes marked rows and numbers the rest anew, in order."""
         df = self.store.frame(table)

@@ -7,16 +7,16 @@ the driver. Only scan() hands rows to the driver, as they come.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dunlin.lang.expr import parse_expression
+from dunlin.lang.expr import Name, parse_expression
 from dunlin.plans import compare
-from dunlin.plans.compile import Compiler, frame_resolver
+from dunlin.plans.compile import Compiler, frame_resolver, record_functions
 from dunlin.plans.values import Val, kind_of, literal
 from dunlin.settings import DialectError, Settings
 from dunlin.sources.store import DELETED, HIDDEN, RECNO
@@ -46,12 +46,38 @@ class Area:
     recno: int | None = None
     found: bool = False
     located: tuple | None = None
-    relations: list[tuple[str, Area]] = field(default_factory=list)
+    links: list[tuple[str, str]] = field(default_factory=list)  # relations: expression, child's alias
+    many: set[str] = field(default_factory=set)
+    bof: bool = False
+    row: Row | None = None  # the current record, if it has been read
+    names: Callable[[Name], Val | None] | None = None  # variables, for what is no field
+    extra: dict = field(default_factory=dict)
 
     # -- what is seen, and in which order
 
     def value(self, text: str, df: DataFrame | None = None) -> Val:
-        return Compiler(frame_resolver((df or self.df).schema), self.settings).value(parse_expression(text))
+        fields = frame_resolver((df or self.df).schema)
+
+        def resolve(name: Name) -> Val | None:
+            if name.name in self.extra:
+                return literal(self.extra[name.name])
+            found = None if (name.qualifier or "").lower() == "m" else fields(Name(name.name))
+            return found if found is not None else self.names(name) if self.names else None
+
+        return Compiler(resolve, self.settings, record_functions()).value(parse_expression(text))
+
+    def record(self) -> Row | None:
+        """The current record; none beyond the end."""
+        if self.recno is None:
+            return None
+        if self.row is None or self.row[RECNO] != self.recno:
+            self.row = self.df.where(F.col(RECNO) == self.recno).first()
+        return self.row
+
+    def now(self, text: str) -> object:
+        """An expression over the current record; NULL beyond the end."""
+        row = self.df.where(F.col(RECNO) == self.recno).select(self.value(text).col.alias("v")).first() if self.recno is not None else None
+        return row.v if row else None
 
     def condition(self, text: str) -> Column:
         v = self.value(text)
@@ -121,7 +147,7 @@ class Area:
 
     def first_of(self, df: DataFrame, reverse: bool = False) -> Row | None:
         row = df.orderBy(*self.sorting(reverse)).first()
-        self.recno = row[RECNO] if row else None
+        self.recno, self.row, self.bof = row[RECNO] if row else None, row, False
         return row
 
     def top(self) -> Row | None:
@@ -134,11 +160,14 @@ class Area:
         row = self.df.where(F.col(RECNO) == recno).first()
         if row is None:
             raise DialectError("record is out of range", 5)
-        self.recno = recno
+        self.recno, self.row, self.bof = recno, row, False
         return row
 
     def skip(self, n: int = 1) -> Row | None:
         here = self.at(self.recno)
+        if here is None and n < 0:  # back from beyond the end: the last record is one step away
+            last = self.bottom()
+            return last if n == -1 or last is None else self.skip(n + 1)
         if n == 0 or here is None:
             return here
         df = self.visible()
@@ -146,7 +175,11 @@ class Area:
         rows = df.orderBy(*self.sorting(n < 0)).limit(abs(n)).orderBy(*self.sorting(n > 0)).limit(1).collect() if abs(n) > 1 else df.orderBy(*self.sorting(n < 0)).limit(1).collect()
         if abs(n) > 1 and df.limit(abs(n)).count() < abs(n):
             rows = []
-        self.recno = rows[0][RECNO] if rows else None
+        if not rows and n < 0:  # before the first record: the place is the first one, and BOF() holds
+            self.top()
+            self.bof = True
+            return None
+        self.recno, self.row, self.bof = (rows[0][RECNO], rows[0], False) if rows else (None, None, False)
         return rows[0] if rows else None
 
     def eof(self) -> bool:
@@ -167,7 +200,8 @@ class Area:
             df = df.orderBy(*self.sorting()).limit(n)
         return df.where(self.condition(for_)) if for_ else df
 
-    def locate(self, for_: str | None = None, while_: str | None = None, scope: str = "ALL", n: int = 0) -> Row | None:
+    def locate(self, for_: str | None = None, while_: str | None = None, scope: str = "ALL", n: int = 0, extra: dict | None = None) -> Row | None:
+        self.extra = extra or {}
         row = self.first_of(self.scoped("REST" if while_ and scope == "ALL" else scope, n, for_, while_))
         self.found, self.located = row is not None, (for_, while_)
         return row
@@ -207,9 +241,9 @@ class Area:
 
     def scan(self, for_: str | None = None, while_: str | None = None, scope: str = "ALL", n: int = 0) -> Iterator[Row]:
         for row in self.scoped(scope, n, for_, while_).orderBy(*self.sorting()).toLocalIterator():
-            self.recno = row[RECNO]
+            self.recno, self.row = row[RECNO], row
             yield row
-        self.recno = None
+        self.recno = self.row = None
 
     # -- orders
 
@@ -244,9 +278,9 @@ class Area:
         cond = v.col == F.col("__key") if kind_of(kid.schema["__key"].dataType) == v.kind else compare.equal(v, Val(F.col("__key"), k.kind), self.settings, exact=True)
         return parent.join(kid, cond, "left").drop("__key")
 
-    def sum(self, *expressions: str, for_: str | None = None, while_: str | None = None) -> tuple:
-        df = self.scoped("ALL", for_=for_, while_=while_)
-        cols = [F.coalesce(F.sum(self.value(e).col.cast("double")), F.lit(0.0)) for e in expressions]
+    def sum(self, *expressions: str, for_: str | None = None, while_: str | None = None, scope: str = "ALL", n: int = 0, average: bool = False) -> tuple:
+        df = self.scoped(scope, n, for_=for_, while_=while_)
+        cols = [F.coalesce((F.avg if average else F.sum)(self.value(e).col.cast("double")), F.lit(0.0)) for e in expressions]
         return tuple(df.agg(*cols).first())
 
     def total(self, on: str, fields: list[str] | None = None, for_: str | None = None) -> DataFrame:

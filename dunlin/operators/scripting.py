@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from dunlin.lang.expr import Binary, Call, Lit, Name, Node, Unary, parse_expression
+from dunlin.operators.commands import FUNCTIONS, REFUSED, SCOPES, clauses
 from dunlin.settings import DialectError
-from dunlin.sources.store import HIDDEN
 
 MOST_CALLS = 48
 
@@ -154,6 +154,8 @@ class Interpreter:
         self.results: list[object] = []
         self.output: list[object] = []
         self.depth, self.on_error, self.error, self.line = 0, None, None, 0
+        session.variables = lambda: {k: v for s in self.scopes for k, v in s.items()}
+        session.commands.value, session.commands.assign = self.value, self.put
 
     def load(self, source: str) -> list:
         main, found = parse(source)
@@ -237,7 +239,8 @@ class Interpreter:
         if isinstance(node, Lit):
             return node.value
         if isinstance(node, Name):
-            return self.get(node.name)
+            found, v = self.session.field_value(node)
+            return v if found else self.get(node.name)
         if isinstance(node, Unary):
             v = self.evaluate(node.arg)
             return None if v is None else not v if node.op == "NOT" else -v
@@ -250,6 +253,11 @@ class Interpreter:
                 return len(self.scopes[-1].get("\0args", []))
             if node.name in ("ERROR", "MESSAGE", "LINENO"):
                 return self.line if node.name == "LINENO" else (getattr(self.error, "code", 0) or 0) if node.name == "ERROR" else str(self.error or "")
+            if node.name == "LOOKUP":
+                field, value, key = node.args[:3]
+                return self.session.commands.lookup(field.name, self.evaluate(value), key.name)
+            if node.name in FUNCTIONS:
+                return self.session.commands.function(node.name, [a.name if isinstance(a, Name) and node.name not in ("SEEK", "KEYMATCH") else self.evaluate(a) for a in node.args])
             return self.by_spark(Call(node.name, [self.constant(a) for a in node.args]))
         if isinstance(node, Binary):
             if node.op in ("AND", "OR"):
@@ -339,16 +347,14 @@ class Interpreter:
                 v = self.get(m[1]) + by
             self.put(m[1], v)
         elif b.kind == "SCAN":
-            for_, while_ = (re.search(rf"(?i)\b{w}\s+(.+?)(?=\s+(?:for|while)\b|$)", b.text[4:]) for w in ("for", "while"))
-            area = self.session.navigate(self.session.current_table())
-            for row in area.scan(for_[1] if for_ else None, while_[1] if while_ else None):
-                self.scopes.append({k.lower(): v for k, v in row.asDict().items() if k not in HIDDEN})
-                before = dict(self.scopes[-1])
-                try:
-                    go = self.inner(b.parts[0][1])
-                finally:
-                    top = self.scopes.pop()
-                    self.scopes[-1].update({k: v for k, v in top.items() if k not in before})
+            c = clauses(b.text[4:], SCOPES)
+            area = self.session.work_area(c.get("IN"))
+            scope = self.session.commands.scope(c)
+            here = self.session.area
+            for row in area.scan(scope["for_"], scope["while_"], scope["scope"], scope["n"]):
+                self.session.commands.moved(area)
+                go = self.inner(b.parts[0][1])
+                self.session.area = here
                 if not go:
                     return
 
@@ -408,9 +414,13 @@ class Interpreter:
             self.value(text[1:])
         elif m := re.match(r"(?i)(?:m\.)?([^\W\d]\w*(?:\s*[\[(][^=]*[\])])?)\s*=(?!=)\s*(.+)$", text):
             self.put(m[1], self.value(m[2]))
+        elif self.session.commands.run(text):
+            pass
         elif h in ("SELECT", "INSERT", "UPDATE", "DELETE", "CREATE", "ALTER", "DROP", "USE", "SET", "PACK", "ZAP", "RECALL"):
             scope = {k: v for s in self.scopes for k, v in s.items() if isinstance(k, str) and not k.startswith("\0")}
             out = self.session.execute(re.sub(r"(?i)\bm\.(\w+)", r":\1", text), **{k: v for k, v in scope.items() if k.isidentifier() and k not in ("text", "self")})
             if isinstance(out, DataFrame):
                 self.results.append(out)
-        # an unknown command is parsed and does nothing
+        elif h in REFUSED:
+            raise DialectError(f"{h} is not supported", 1999)
+        # a word that is no command of the dialect is parsed and does nothing

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dunlin.operators import stats
+from dunlin.plans import catalogue_records
 from dunlin.session import Session
 from dunlin.sources.store import DELETED, HIDDEN, RECNO
 
@@ -137,9 +138,9 @@ statement("fn_at_rat", "SELECT n_nationkey, AT('A', n_name) AS a, RAT('A', n_nam
 statement("fn_stuff_chrtran_strtran", "SELECT n_nationkey, STUFF(n_name, 2, 1, '??') AS s, CHRTRAN(n_name, 'AEI', 'xy') AS c, STRTRAN(n_name, 'A', '') AS t FROM nation", "SELECT n_nationkey, left(n_name, 1) || '??' || substr(n_name, 3) AS s, replace(replace(replace(n_name, 'A', 'x'), 'E', 'y'), 'I', '') AS c, replace(n_name, 'A', '') AS t FROM nation")
 statement("fn_str_val", "SELECT n_nationkey, STR(n_nationkey, 4) AS s, VAL(STR(n_nationkey, 4)) AS v, STRZERO(n_nationkey, 3) AS z FROM nation", "SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 4, ' ') AS s, n_nationkey::DOUBLE AS v, lpad(n_nationkey::VARCHAR, 3, '0') AS z FROM nation")
 statement("fn_proper_words", "SELECT n_nationkey, PROPER(n_name) AS p, GETWORDCOUNT(n_name) AS n, GETWORDNUM(n_name, 2) AS w FROM nation", "SELECT n_nationkey, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', ' ') AS p, len(list_filter(string_split(n_name, ' '), lambda x: x <> ''))::INTEGER AS n, coalesce(list_filter(string_split(n_name, ' '), lambda x: x <> '')[2], '') AS w FROM nation")
-statement("fn_strextract", "SELECT event_id, STREXTRACT(props, ':', ',') AS v FROM events", "")
+statement("fn_strextract", "SELECT event_id, STREXTRACT(props, ':', ',') AS v FROM events", "SELECT event_id, CASE WHEN strpos(props, ':') > 0 AND strpos(substr(props, strpos(props, ':') + 1), ',') > 0 THEN split_part(substr(props, strpos(props, ':') + 1), ',', 1) ELSE '' END AS v FROM events")
 statement("fn_soundex", "SELECT n_nationkey, SOUNDEX(n_name) AS s, DIFFERENCE(n_name, 'CHINA') AS d FROM nation", "")
-statement("fn_transform", "SELECT o_orderkey, TRANSFORM(o_totalprice, '9,999,999.99') AS t FROM orders", "")
+statement("fn_transform", "SELECT o_orderkey, TRANSFORM(o_totalprice, '9,999,999.99') AS t FROM orders", "SELECT o_orderkey, lpad(format('{:,.2f}', o_totalprice), 12, ' ') AS t FROM orders")
 statement("fn_date_parts", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, DOW(o_orderdate) AS w, CDOW(o_orderdate) AS n, CMONTH(o_orderdate) AS c FROM orders", "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d, (dayofweek(o_orderdate) + 1)::INTEGER AS w, dayname(o_orderdate) AS n, monthname(o_orderdate) AS c FROM orders")
 statement("fn_date_arith", "SELECT o_orderkey, TTOD(o_orderdate) + 30 AS p, TTOD(o_orderdate) - {^1995-01-01} AS n, o_orderdate + 90 AS t FROM orders", "SELECT o_orderkey, o_orderdate::DATE + 30 AS p, (o_orderdate::DATE - DATE '1995-01-01')::DOUBLE AS n, o_orderdate + INTERVAL 90 SECOND AS t FROM orders")
 statement("fn_dtoc_dtos", "SELECT o_orderkey, DTOC(o_orderdate) AS c, DTOS(o_orderdate) AS s, CTOD(DTOC(o_orderdate)) AS d FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS c, strftime(o_orderdate, '%Y%m%d') AS s, o_orderdate::DATE AS d FROM orders")
@@ -353,6 +354,10 @@ _CODE = {
 }
 
 
+STATEMENTS |= catalogue_records.STATEMENTS
+_CODE |= catalogue_records.CODE
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _statement(n) for n in STATEMENTS} | {n: f for n, (f, _) in _CODE.items()}
 

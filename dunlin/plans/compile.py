@@ -136,6 +136,11 @@ def frame_resolver(schema, names: dict[str, str] | None = None) -> Resolver:
     return resolve
 
 
+def record_functions(recno: str = "__recno", deleted: str = "__deleted") -> dict:
+    """RECNO() and DELETED() over a frame with these hidden columns."""
+    return {"RECNO": lambda c, args: Val(F.col(recno), "I"), "DELETED": lambda c, args: Val(F.col(deleted), "L")}
+
+
 def compile_on(df, expression: str, settings: Settings | None = None, functions: dict | None = None) -> Val:
     """An expression's text as a column of df; works on streaming frames as well."""
     return Compiler(frame_resolver(df.schema), settings or Settings(sql=False), functions).value(parse_expression(expression))
@@ -146,7 +151,7 @@ def query(df, filter_text: str, settings: Settings | None = None):
     settings = settings or Settings(sql=False)
     try:
         node = parse_expression(filter_text)
-        cond = Compiler(frame_resolver(df.schema), settings).condition(node)
+        cond = Compiler(frame_resolver(df.schema), settings, record_functions() if "__recno" in df.columns else None).condition(node)
     except DialectError:
         return df.where(F.lit(False))
     if "__deleted" in df.columns and settings.deleted:

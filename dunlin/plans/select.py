@@ -15,7 +15,7 @@ from dunlin.plans import compare
 from dunlin.plans.compile import Compiler
 from dunlin.plans.values import Val, kind_of
 from dunlin.settings import DialectError, Settings
-from dunlin.sources.store import DELETED, HIDDEN, RECNO
+from dunlin.sources.store import DELETED, HIDDEN, RECNO, numbered
 
 AGGREGATES = frozenset(("COUNT", "SUM", "AVG", "MIN", "MAX"))
 #: Rows of TOP up to which its order keys are sent to all executors.
@@ -28,6 +28,8 @@ class Scope:
 
     sources: dict[str, dict[str, tuple[str, str, str]]] = field(default_factory=dict)  # alias -> column -> (name, kind, as written)
     outer: Scope | None = None
+    records: dict[str, tuple[str, str, str]] = field(default_factory=dict)  # alias -> record number, deletion mark, table
+    numbers: bool = False  # whether record numbers are asked for
 
     def find(self, name: Name) -> tuple[str, str] | None:
         low = name.name.lower()
@@ -50,6 +52,12 @@ class Scope:
         return None
 
 
+def expressions(q: S.Select) -> list[Node]:
+    """The expressions of a query, without those of its subqueries."""
+    found = [*(i.expr for i in q.items), q.where, *q.group, q.having, *(o.expr for o in q.order), *(j.on for j in q.joins)]
+    return [e for e in found if isinstance(e, Node) and not isinstance(e, S.Star)]
+
+
 class Planner:
     """Plans one session's queries; `tables` gives a name's frame, with hidden columns if the table has them."""
 
@@ -62,6 +70,8 @@ class Planner:
         if src.alias.lower() in scope.sources:
             raise DialectError(f"alias {src.alias} is used twice", 24)
         df = self.tables(src.table)
+        if scope.numbers and RECNO not in df.columns:
+            df = numbered(df).withColumn(DELETED, F.lit(False))
         if DELETED in df.columns and self.settings.deleted:
             df = df.where(~F.col(DELETED))
         self.count += 1
@@ -71,6 +81,7 @@ class Planner:
         visible = [F.col(f"`{written}`").alias(name) for name, _, written in cols.values()]
         if RECNO in df.columns:
             hidden = [F.col(RECNO).alias(prefix + RECNO), F.col(DELETED).alias(prefix + DELETED)]
+            scope.records[src.alias.lower()] = (prefix + RECNO, prefix + DELETED, src.table)
             return df.select(*visible, *hidden)
         return df.select(*visible)
 
@@ -82,7 +93,23 @@ class Planner:
         return df.withColumn("__scan", F.monotonically_increasing_id()), F.col("__scan")
 
     def compiler(self, scope: Scope, special=None) -> Compiler:
-        return Compiler(scope.resolve, self.settings, self.functions, special or self.subqueries(scope))
+        return Compiler(scope.resolve, self.settings, self.known(scope), special or self.subqueries(scope))
+
+    def known(self, scope: Scope) -> dict:
+        """The session's functions, and those of records: of the first source, or of the one named."""
+
+        def of(which: int, kind: str):
+            def make(_, args: list[Val]) -> Val:
+                alias = str(args[0].lit).lower() if args and args[0].is_lit else next(iter(scope.records), None)
+                if alias not in scope.records:
+                    return Val(F.lit(None).cast("long" if kind == "I" else "boolean"), kind)
+                if which == 2:
+                    return Val(self.tables(scope.records[alias][2]).agg(F.count("*").alias("n")).scalar(), "I")
+                return Val(F.col(scope.records[alias][which]), kind)
+
+            return make
+
+        return {"RECNO": of(0, "I"), "DELETED": of(1, "L"), "RECCOUNT": of(2, "I"), **self.functions}
 
     # -- subqueries
 
@@ -95,14 +122,14 @@ class Planner:
                 found = inner.exists()
                 return Val(~found if node.negated else found, "L")
             if isinstance(node, S.In):
-                x = Compiler(scope.resolve, self.settings, self.functions, special).value(node.arg)
+                x = Compiler(scope.resolve, self.settings, self.known(scope), special).value(node.arg)
                 inner, val = self.inner(node.query, scope)
                 held = inner.select(val.col.alias("__member")).where("__member is not null")
                 hit = held.where(compare.equal(Val(outer_of(x.col, scope, node.arg, self, special), x.kind), Val(F.col("__member"), val.kind), self.settings)).exists()
                 hit = ~hit if node.negated else hit
                 return Val(x.col.isNotNull() & hit if sure else F.when(x.col.isNotNull(), hit), "L")
             if isinstance(node, S.Compare):
-                x = Compiler(scope.resolve, self.settings, self.functions, special).value(node.arg)
+                x = Compiler(scope.resolve, self.settings, self.known(scope), special).value(node.arg)
                 inner, val = self.inner(node.query, scope)
                 y = Val(inner.select(val.col.alias("__value")).scalar(), val.kind)
                 if node.op in ("=", "==", "<>"):
@@ -136,12 +163,13 @@ class Planner:
     # -- rows before projection
 
     def rows(self, q: S.Select, scope: Scope) -> DataFrame:
+        scope.numbers = any(isinstance(n, Call) and n.name in ("RECNO", "DELETED", "RECCOUNT") for e in expressions(q) for n in walk(e))
         df = self.source(q.sources[0], scope)
         for src in q.sources[1:]:
             df = df.crossJoin(self.source(src, scope))
         for j in q.joins:
             right = self.source(j.source, scope)
-            cond = Compiler(scope.resolve, self.settings, self.functions).condition(j.on)
+            cond = Compiler(scope.resolve, self.settings, self.known(scope)).condition(j.on)
             df = df.join(right, cond, {"full": "full_outer"}.get(j.kind, j.kind))
         for part in conjuncts(q.where):
             df = df.where(self.member(part, scope) if isinstance(part, S.In) else self.compiler(scope).condition(part))
@@ -215,7 +243,7 @@ class Planner:
             if isinstance(o.expr, Lit) and isinstance(o.expr.value, int) and 1 <= o.expr.value <= len(items):
                 v = comp.value(items[o.expr.value - 1][0])
             else:
-                v = comp.value(o.expr)
+                v = comp.value(self.aliased(o.expr, items, scope))
             keys.append((compare.sort_key(v, self.settings), o.desc))
         if not keys and q.top is None and not q.distinct:
             return df.select(*cols)
@@ -229,6 +257,13 @@ class Planner:
         out = df.select(*cols, *(k.alias(n) for (k, _), n in zip(keys, key_names)), *cols_extra)
         return self.shaped(q, out, names, key_names, [d for _, d in keys], needs_scan)
 
+    @staticmethod
+    def aliased(e: Node, items: list[tuple[Node, str | None, str | None]], scope: Scope) -> Node:
+        """The item that a name in ORDER BY stands for, if it is an alias and no column."""
+        if isinstance(e, Name) and not e.qualifier and scope.find(e) is None:
+            return next((x for x, alias, _ in items if alias and alias.lower() == e.name.lower()), e)
+        return e
+
     def shaped(self, q: S.Select, out: DataFrame, names: list[str], keys: list[str], desc: list[bool], scan: bool) -> DataFrame:
         """DISTINCT, ORDER BY and TOP over columns and their order keys."""
         if q.distinct:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dunlin.lang import sql as S
 from dunlin.lang.expr import Name, Token, parse_expression, tokenize
 from dunlin.operators.changes import Changes
+from dunlin.operators.commands import Commands
 from dunlin.operators.nav import Area
 from dunlin.plans.compile import Compiler
 from dunlin.plans.select import Planner
@@ -33,6 +34,9 @@ class Session:
         self.arrays: dict[str, list] = {}
         self.memory: dict[str, object] = {}
         self.functions: dict[str, Callable] = {}
+        self.work: dict[str, Area] = {}
+        self.commands = Commands(self)
+        self.variables: Callable[[], dict] = lambda: self.memory
 
     @property
     def store(self) -> Store:
@@ -82,6 +86,8 @@ class Session:
     def execute(self, text: str, *args, **named) -> DataFrame | int | None:
         if text.lstrip()[:1] in ("?", "=") and not args:
             return self.value(text.lstrip()[1:])
+        if self.commands.run(text):
+            return None
         return self.run(self.parse(text, args, named))
 
     def parse(self, text: str, args: tuple = (), named: dict | None = None):
@@ -114,7 +120,8 @@ class Session:
     def _memory(self, name: Name) -> Val | None:
         from dunlin.plans.values import literal
 
-        return literal(self.memory[name.name.lower()]) if name.name.lower() in self.memory else None
+        known = self.variables()
+        return literal(known[name.name.lower()]) if name.name.lower() in known else None
 
     def run(self, stmt) -> DataFrame | int | None:
         if isinstance(stmt, S.Select):
@@ -135,7 +142,10 @@ class Session:
         if isinstance(stmt, S.Command):
             table = stmt.table or self.current_table()
             if stmt.word in ("PACK", "ZAP"):
+                self.work = {k: a for k, a in self.work.items() if self.areas[k][1].lower() != table.lower()}
                 return c.pack(table) if stmt.word == "PACK" else c.zap(table)
+            if stmt.table is None:
+                raise DialectError(f"{stmt.word} takes no scope and no condition", 10)
             return c.mark(table, stmt.where, stmt.word == "DELETE")
         if isinstance(stmt, S.Use):
             return self.use(stmt)
@@ -170,6 +180,7 @@ class Session:
         area = stmt.area or self.area
         if area == "0":
             area = next(str(n) for n in range(1, 32768) if str(n) not in self.areas)
+        self.work.pop(area, None)
         if stmt.table is None:
             self.areas.pop(area, None)
             return
@@ -181,6 +192,48 @@ class Session:
             raise DialectError("no table is open", 52)
         return self.areas[self.area][1]
 
+    def area_id(self, name: str | None) -> str:
+        """The number of an area by its number or alias; the current one for none."""
+        found = self.area if name is None else name if name in self.areas else next((k for k, (alias, _) in self.areas.items() if alias.lower() == name.lower()), None)
+        if found not in self.areas:
+            raise DialectError("no table is open" if name is None else f"alias {name} is not found", 52 if name is None else 13)
+        return found
+
+    def table_of(self, name: str | None) -> str:
+        return self.areas[self.area_id(name)][1]
+
+    def work_area(self, name: str | None = None) -> Area:
+        """An open area with its place; when first used it is at its first record."""
+        key = self.area_id(name)
+        df = self.table(self.areas[key][1])
+        a = self.work.get(key)
+        if RECNO not in df.columns:
+            df = a.df if a is not None else settled(numbered(df).withColumn(DELETED, F.lit(False)))
+        settings = Settings(**{**self.settings.__dict__, "sql": False})
+        if a is None:
+            a = self.work[key] = Area(df, settings, names=self._memory)
+            a.top()
+        else:
+            a.df, a.settings = df, settings
+        return a
+
+    def field_value(self, name: Name) -> tuple[bool, object]:
+        """Whether a name is a field of its area, or of the current one, and its value in the current record."""
+        if (name.qualifier or "").lower() == "m" or not self.areas:
+            return False, None
+        if name.qualifier is None and self.area not in self.areas:
+            return False, None
+        try:
+            key = self.area_id(name.qualifier)
+        except DialectError:
+            return False, None
+        df = self.work[key].df if key in self.work else self.table(self.areas[key][1])
+        column = next((c for c in df.columns if c.lower() == name.name.lower() and c not in HIDDEN), None)
+        if column is None:
+            return False, None
+        row = self.work_area(key).record()
+        return True, None if row is None else row[column]
+
     def used(self, alias: str) -> bool:
         return any(a.lower() == alias.lower() for a, _ in self.areas.values())
 
