@@ -11,7 +11,9 @@ a group: each band's member that shares most buckets leads it; members are compa
 leaders, and where some are not linked to theirs, the rest of that leader's group is compared in blocks
 of bounded size that give out only promising pairs. Groups however large are split and none is capped.
 
-Null, empty and blank texts have an empty set and link with nothing. Words are lower-cased in A-Z only
+Null, empty and blank texts have an empty set and link with nothing. Inside, a row goes by its id and a hash of its
+text: rows that share both are one document, rows that share only the id are documents of their own, and
+a null id comes after all others, so a group has a null component only if none of its rows has an id. Words are lower-cased in A-Z only
 and split at blanks and controls 9-13. Shingles count as equal when their 64-bit hashes are.
 """
 
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dunlin.llm.common import LOWER, bounded_batches, components, discard, materialize, mix, span_hashes, text_slices, utf8, words
@@ -224,15 +226,25 @@ def _in_blocks(groups: DataFrame, size: int, percent: int) -> DataFrame:
     return dealt.groupBy("leader", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
+def row_key(id_col: str) -> Column:
+    """What tells rows apart, in the order of their ids: null ids last, then by a hash of the text."""
+    own = F.col(f"`{id_col}`")
+    return F.struct(own.isNull().alias("none"), own.alias("id"), F.xxhash64("text").alias("text"))
+
+
 def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """id, n_shingles, component_id and kept of every row.
+    """id, n_shingles, component_id and kept of every row."""
+    out = grouped(docs, size, percent, id_col)
+    found = out.select(F.col("id.id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component.id").alias("component_id"), "id", "component")
+    return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("id") == F.col("component"))).drop("id", "component")
 
-    Rows that share an id are one document if their texts are equal; a null id is its own component.
-    """
+
+def grouped(docs: DataFrame, size: int, percent: int, id_col: str) -> DataFrame:
+    """(id, n, component) of every row, where id and component are row keys."""
     bounded_batches(docs.sparkSession)
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), "text")
+    source = docs.select(row_key(id_col).alias("id"), "text")
     drawn = materialize(sketches(source, size, "id"), "sketch", "lz4")
-    sets = materialize(drawn.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets")
+    sets = materialize(drawn.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets")
 
     rows = band_rows(percent)
     width = 2 * rows
@@ -241,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(bands.join(shared, "bucket"), "members")
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
-    leaders = members.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top")).select("bucket", (-F.col("top.id")).alias("leader"))
+    leaders = members.join(weight, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "id")).alias("top")).select("bucket", F.col("top.id").alias("leader"))
     groups = materialize(members.select("bucket", "id").join(leaders, "bucket").select("leader", "id").where("leader <> id").distinct(), "groups")
 
     own = sets.select("id", "n", "regs")
@@ -262,11 +274,17 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
 
     reps = sets.select("h1", "h2", "n", F.col("id").alias("rep"))
     out = drawn.select("id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    whole = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(whole, "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
 
 
 def first_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, without those that are linked with a smaller id."""
-    spare = near_duplicates(docs, size, percent, id_col).where("not kept").select(id_col).distinct()
-    return docs.join(spare.hint("merge"), id_col, "left_anti").select(*(docs[c] for c in docs.columns))
+    """One row, with all columns, of each group of linked rows: that with the smallest key. Rows without words all stay."""
+    key = "__dunlin_key"
+    found = materialize(grouped(docs, size, percent, id_col).select(F.col("id").alias(key), "n", "component"), "groups")
+    spare = found.where(f"{key} <> component").select(key).distinct()
+    again = materialize(found.where(f"{key} = component and n > 0").groupBy(key).count().where("count > 1").select(key), "again")
+    keyed = docs.withColumn(key, row_key(id_col))
+    out = keyed.join(spare.union(again).hint("merge"), key, "left_anti")
+    if not again.isEmpty():  # the same text under the same id, of which any row will do
+        out = out.union(keyed.join(again, key, "left_semi").dropDuplicates([key]))
+    return out.drop(key)
