@@ -2,12 +2,19 @@
 
 Each paragraph gives points for its length and commas to its parent and half of them to its
 grandparent; a container's points are discounted by its link density. The container with the most
-points is kept, and beside it and beside each element around it all that is not link-dense; an article
-or main element around it bounds what is kept. The blocks are joined in page order. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments and hidden parts are left out wherever they stand.
+points is kept, and beside it and beside each element around it all that is not link-dense; a main element
+around it, or else an article, bounds what is kept, and articles and headings beside that article stay too.
+The blocks are joined in page order.
+
+Menus, headers, footers, sidebars, forms, scripts, styles and hidden parts are left out by their element, role
+or attributes, and containers of reader comments by their name. Other names (class and id) only weigh: a
+name that says nothing but noise (`ad`, `cookie-notice`, `share-buttons`, but not `share-price` or
+`story related`) takes three quarters of a container's points, and the container goes unless it holds more
+points of its own than all the rest of the page.
 
 A null or empty html, or a page without text, gives an empty text. Broken markup is read as browsers
 do where it matters here: unclosed elements end with their parents, a cut tag at the end is dropped.
+Time grows with the length of a page, whatever its depth.
 """
 
 from __future__ import annotations
@@ -28,13 +35,15 @@ SKIP = RAW | frozenset("nav header footer aside form button select option dialog
 BLOCK = frozenset("address article blockquote body center dd details div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main body figcaption".split())
 CLOSES_P = BLOCK | frozenset("hr nav header footer aside form fieldset menu dialog".split())
-SELF_CLOSING = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
-STOP = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
+#: Words of names that stand for noise, and words that may stand beside them without changing that.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices alert newsletter subscribe subscription signup sidebar rail widget widgets "
-    "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist respond replies reply disqus discussion share sharing social related recommended "
-    "popup modal overlay login gdpr skip toc tags".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice notices newsletter subscribe subscription signup sidebar rail widget widgets "
+    "menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar share sharing social related recommended popup modal overlay login gdpr skip".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus".split())
+FILLER = frozenset("box bar block container wrapper wrap section area list item items links link button buttons icon icons inner outer left right top bottom site page main post posts article user reader slot unit panel group form thread content media policy more".split())
+#: Words of names that stand for content.
+CONTENT = frozenset("article body content entry main page post story text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form note".split())
 LONG = 25
 
@@ -43,40 +52,78 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?"
 WORD = re.compile(r"[a-z]+")
 
 
+#: What ends an open element of a kind: the kind's elements, and those that bound the search for it.
+KINDS = {"p": ("p", {"p"}, {"table", "td", "th", "button", "object"}), "li": ("li", {"li"}, {"ul", "ol", "menu"}), "dd": ("dd", {"dd", "dt"}, {"dl"}), "row": ("row", {"tr", "td", "th"}, {"table"}), "option": ("option", {"option"}, {"select"})}
+KIND_OF = {"li": "li", "dd": "dd", "dt": "dd", "tr": "row", "td": "row", "th": "row", "option": "option"}
+_IN_KIND = {tag: tuple(k for k, (_, own, bound) in KINDS.items() if tag in own or tag in bound) for tag in {t for _, own, bound in KINDS.values() for t in own | bound}}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "points", "link", "length")
+    __slots__ = ("tag", "parent", "children", "skip", "noise", "points", "link", "length", "near")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False):
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, noise: bool = False):
+        self.tag, self.parent, self.skip, self.noise = tag, parent, skip, noise
         self.children: list = []
         self.points = self.link = self.length = 0.0
+        # the nearest open element of each kind, or what bounds it
+        near = parent.near if parent is not None else {}
+        kinds = _IN_KIND.get(tag)
+        self.near = near | dict.fromkeys(kinds, self) if kinds else near
+
 
+def named(value: str) -> int:
+    """What a class or id says: 2 reader comments, 1 noise, 0 nothing."""
+    found = 0
+    for token in value.split():
+        words = set(WORD.findall(token))
+        if words & COMMENTS and words <= COMMENTS | FILLER:
+            return 2
+        if words & NOISE and words <= NOISE | FILLER:
+            found = 1
+        elif words and words <= CONTENT:
+            return 0
+    return found
 
-def noisy(tag: str, attributes: str) -> bool:
-    """Whether an element is no part of an article, by its name or what its attributes say."""
+
+def judged(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether its name is noise."""
     if tag in SKIP:
-        return True
+        return True, False
     if not attributes or tag in ("body", "html"):
-        return False
+        return False, False
     low = attributes.lower()
     if not ("class" in low or "id" in low or "role" in low or "hidden" in low or "style" in low):
-        return False
+        return False, False
+    noise = False
     for name, value in ATTRIBUTE.findall(low):
         value = value.strip("\"'")
-        if name in ("class", "id") and tag not in ("article", "main"):
-            if not NOISE.isdisjoint(WORD.findall(value)):
-                return True
+        if name in ("class", "id"):
+            says = named(value)
+            if says == 2 and tag != "main":
+                return True, False
+            noise |= says == 1 and tag not in ("article", "main")
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, noise
 
 
-def parse(html: str) -> Node:
-    """The tree of a page: nodes and strings; what is left out keeps no strings."""
+def parse(html: str) -> list[Node]:
+    """The nodes of a page, parents before children, the root first; what is left out keeps no strings."""
     root = Node("#root", None)
-    cur, at, n = root, 0, len(html)
+    nodes, cur, at, n = [root], root, 0, len(html)
+    open_: dict[str, int] = {}
+
+    def close_to(node: Node) -> Node:
+        """Ends all open elements up to and including node."""
+        inner = cur
+        while True:
+            open_[inner.tag] -= 1
+            if inner is node:
+                return node.parent
+            inner = inner.parent
+
     while at < n:
         m = TOKEN.search(html, at)
         text = html[at : m.start()] if m else html[at:]
@@ -88,50 +135,49 @@ def parse(html: str) -> Node:
         close = m[1]
         if close:
             close = close.lower()
-            node = cur
-            while node is not None and node.tag != close:
-                node = node.parent
-            if node is not None and node.parent is not None:
-                cur = node.parent
+            if open_.get(close):
+                node = cur
+                while node.tag != close:
+                    node = node.parent
+                cur = close_to(node)
             continue
         name = m[2] or m[5]
         if not name or (m[4] if m[2] else m[7]) != ">":
             continue  # a comment or declaration, or a tag cut off at the end
         tag, attributes = name.lower(), (m[3] if m[2] else m[6]) or ""
-        if tag in CLOSES_P:
-            node = cur
-            while node is not None and node.tag != "p" and node.tag not in ("table", "td", "th", "button", "object"):
-                node = node.parent
-            if node is not None and node.tag == "p":
-                cur = node.parent
-        if tag in SELF_CLOSING and tag != "p":
-            node, stop, ends = cur, STOP.get(tag, ()), SELF_CLOSING[tag]
-            while node is not None and node.tag not in stop and node.tag not in ends:
-                node = node.parent
-            if node is not None and node.tag in ends:
-                cur = node.parent
-        node = Node(tag, cur, cur.skip or noisy(tag, attributes))
+        if tag in CLOSES_P and (p := cur.near.get("p")) is not None and p.tag == "p":
+            cur = close_to(p)
+        kind = KIND_OF.get(tag)
+        if kind:
+            top = cur.near.get(kind)
+            if top is not None and tag == "tr" and top.tag in ("td", "th"):
+                row = top.parent.near.get(kind) if top.parent is not None else None
+                top = row if row is not None and row.tag == "tr" else top
+            if top is not None and top.tag in KINDS[kind][1] and not (top.tag == "tr" and tag in ("td", "th")):
+                cur = close_to(top)
+        skip, noise = judged(tag, attributes)
+        node = Node(tag, cur, cur.skip or skip, noise)
         cur.children.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else n
-        elif tag not in VOID and not attributes.endswith("/"):
+        elif tag not in VOID and (not attributes.endswith("/") or tag in BLOCK or tag in SKIP or tag in ("a", "b", "i", "span", "p")):
             cur = node
-        elif tag not in VOID:
-            cur = node if tag in BLOCK or tag in SKIP or tag in ("a", "b", "i", "span") else cur
-    return root
+            open_[tag] = open_.get(tag, 0) + 1
+    return nodes
 
 
 def blocks_of(node: Node) -> list[tuple[Node, str, int]]:
     """(container, text, characters in links) of every block below node, in page order."""
     out: list[tuple[Node, str, int]] = []
     parts: list[str] = []
-    owner, links = [node], [0]
+    owners, links = [node], [0]
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append((owner[0], text, min(links[0], len(text))))
+            out.append((owners[-1], text, min(links[0], len(text))))
         parts.clear()
         links[0] = 0
 
@@ -144,10 +190,7 @@ def blocks_of(node: Node) -> list[tuple[Node, str, int]]:
             stack.pop()
             if cur.tag in BLOCK and cur is not node:
                 flush()
-                up = cur.parent
-                while up is not node and up.tag not in BLOCK and up.parent is not None:
-                    up = up.parent
-                owner[0] = up
+                owners.pop()
             continue
         top[1] += 1
         child = cur.children[k]
@@ -168,71 +211,92 @@ def blocks_of(node: Node) -> list[tuple[Node, str, int]]:
         else:
             if child.tag in BLOCK:
                 flush()
-                owner[0] = child
+                owners.append(child)
             stack.append([child, 0, linked or child.tag == "a"])
     flush()
     return out
 
 
-def extract(html: str | None) -> str:
-    """The main text of a page."""
-    if not html:
-        return ""
-    root = parse(html)
-    blocks = blocks_of(root)
-    if not blocks:
-        return ""
-    touched: dict[int, Node] = {}
+def measured(nodes: list[Node], weigh: bool = True) -> list[tuple[Node, str, int]]:
+    """The page's blocks; lengths, links and points of all nodes are set."""
+    blocks = blocks_of(nodes[0])
+    for node in nodes:
+        node.length = node.link = node.points = 0.0
     for owner, text, links in blocks:
-        node = owner
-        while node is not None:
-            node.length += len(text)
-            node.link += links
-            node = node.parent
+        owner.length += len(text)
+        owner.link += links
         if len(text) < LONG or owner.tag not in PARAGRAPH:
             continue
         points = 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
         # text that stands straight in a container counts for that container
-        parent = owner if owner.tag in ("div", "section", "article", "main", "body") else owner.parent
+        node = owner if owner.tag in ("div", "section", "article", "main", "body") else owner.parent
         for share in (1.0, 0.5):
-            if parent is None:
+            if node is None:
                 break
-            parent.points += points * share
-            touched[id(parent)] = parent
-            parent = parent.parent
+            points *= 0.25 if node.noise and weigh else 1.0
+            node.points += points * share
+            node = node.parent
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.length += node.length
+            node.parent.link += node.link
+    return blocks
 
-    def score(node: Node) -> float:
-        return node.points * (1.0 - node.link / max(node.length, 1.0))
 
-    best = max(touched.values(), key=score, default=None)
+def score(node: Node) -> float:
+    return node.points * (1.0 - node.link / max(node.length, 1.0))
+
+
+def without_noise(nodes: list[Node]) -> None:
+    """Leaves out containers with noisy names, but one that holds more text outside links than the rest of the page."""
+    whole = nodes[0].length - nodes[0].link
+    holds = {id(n) for n in nodes if n.tag in ("article", "main") and not n.skip}
+    for n in reversed(nodes):
+        if id(n) in holds and n.parent is not None:
+            holds.add(id(n.parent))
+    for n in nodes:
+        if n.parent is not None and n.parent.skip:
+            n.skip = True
+        elif n.noise and id(n) not in holds and 2 * (n.length - n.link) <= whole:
+            n.skip = True
+
+
+def extract(html: str | None) -> str:
+    """The main text of a page."""
+    if not html:
+        return ""
+    nodes = parse(html)
+    root = nodes[0]
+    if not measured(nodes):
+        return ""
+    if any(n.noise for n in nodes):
+        without_noise(nodes)
+        measured(nodes)
+    best = max((n for n in nodes if n.points), key=score, default=None)
     if best is None:
-        found = [n for n in articles(root)]
-        best = found[0] if found else root
+        best = next((n for n in nodes if n.tag in ("article", "main") and not n.skip), root)
     while best.tag not in BLOCK and best.parent is not None:
         best = best.parent
     if best.tag in ("ul", "ol", "dl", "table", "tbody", "tr", "blockquote", "p") and best.parent is not None:
         best = best.parent
-    # an article around the best container is the article
-    node = best.parent
+    # a main element around the best container bounds the article, or else the article around it
+    bound, node = best if best.tag in ("article", "main") else None, best.parent
     while node is not None:
-        if node.tag in ("article", "main"):
-            best = node
-            break
+        if node.tag == "main" or node.tag == "article" and bound is None:
+            bound = node
         node = node.parent
-    if best.tag in ("article", "main"):
-        kept = [best]
-        if best.parent is not None:
-            least = max(3.0, 0.2 * score(best))
-            kept = []
-            for sib in best.parent.children:
-                if isinstance(sib, str) or sib.skip:
-                    continue
-                dense = sib.link / max(sib.length, 1.0)
-                if sib is best or sib.tag == best.tag == "article" and sib.length and dense < 0.5 or sib.points and score(sib) >= least or sib.tag == "p" and sib.length > 80 and dense < 0.25:
-                    kept.append(sib)
+    if bound is not None and bound.tag == "article" and bound.parent is not None:
+        least, kept = max(3.0, 0.2 * score(bound)), []
+        for sib in bound.parent.children:
+            if isinstance(sib, str) or sib.skip:
+                continue
+            dense = sib.link / max(sib.length, 1.0)
+            like = sib.tag == "article" and sib.length and dense < 0.5 or sib.tag in ("h1", "h2", "h3", "hgroup") and dense < 0.5
+            if sib is bound or like or sib.points and score(sib) >= least or sib.tag == "p" and sib.length > 80 and dense < 0.25:
+                kept.append(sib)
         return "\n".join(text for node in kept for _, text, _ in blocks_of(node))
     least, node, around = max(3.0, 0.2 * score(best)), best, set()
-    while node.parent is not None:
+    while node is not bound and node.parent is not None:
         for sib in node.parent.children:
             if not isinstance(sib, str) and sib is not node and sib.link >= 0.5 * max(sib.length, 1.0) and score(sib) < least:
                 sib.skip = True
@@ -242,15 +306,6 @@ def extract(html: str | None) -> str:
     return "\n".join(text for owner, text, links in blocks_of(node) if id(owner) not in around or links < 0.5 * len(text))
 
 
-def articles(root: Node) -> Iterator[Node]:
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if node.tag in ("article", "main") and not node.skip:
-            yield node
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
-
-
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars (code points) of every page row; a narrow map, no shuffle."""
 
