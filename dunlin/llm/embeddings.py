@@ -4,14 +4,21 @@ Vectors with equal labels are compared by cosine in double precision. Per label
 cluster centres; every vector is stored in the shards of its nearest centres, so shards overlap. In each
 shard every vector's neighbours are pruned robustly (Vamana; Subramanya and others, 2019): of candidates
 in order of distance, one is kept unless a kept one is nearer to it by the factor alpha. The shards'
-adjacency lists of a vector are united. A search starts at a shard's medoid, moves greedily over a list
+adjacency lists of a vector are united. A search starts at a shard's medoids, moves greedily over a list
 of bounded length, and then expands every vector in range until no more are reached; what it finds is
-verified in double precision.
+verified in double precision. A vector is searched for in every shard that it is stored in, along the united
+lists as far as they lead to vectors that are stored there too.
 
-Dense groups, copies included, need no list of their pairs: vectors within half the linking distance
+Recall is audited: a stated query set (ids divisible by 100, at most `AUDIT` of them by hash) is compared
+with all rows; below `RECALL` the search is done again with twice as many shards for each vector, and a
+recall below `LEAST_RECALL` in the end is an error. The last one is logged and put into `report`.
+
+No pairs are listed. A pair counts in the first shard that both are stored in, where each vector's links
+are counted and a forest of the found pairs is given out, so a task gives no more rows than it gets.
+Dense groups, copies included, need not even be searched: vectors within half the linking distance
 of one centre (found in the sample, a ball) are all linked with each other by the triangle inequality.
 They are counted as a whole; only their links with others are searched for. Shards larger than the
-bound are dealt into blocks, and searched block by block, so none is ever larger and none is cut.
+bound are dealt into blocks, each with its own graph, and compared with the other blocks by product.
 
 Null labels, null or empty vectors, zero vectors and such with null or non-finite components link with
 nothing. Rows that share an id count as one vector each; a vector is not linked with itself.
@@ -19,6 +26,7 @@ nothing. Rows that share an id count as one vector each; a vector is not linked
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import components, materialize
+from dunlin.llm.common import components, discard, materialize
 
 COSINE = 0.98
 #: Rows sampled to fit the centres and balls, for all labels together.
 SAMPLE = 20_000
 #: Wanted and largest number of vectors in a shard.
 SHARD, SHARD_MOST = 300, 2000
-CENTRES_MOST = 4096
 OVERLAP = 3
+#: Queries of the audit at most; recall that ends the widening, how often it may double, and what must be reached.
+AUDIT, RECALL, WIDENINGS, LEAST_RECALL = 256, 0.97, 3, 0.9
 DEGREE, LONG_DEGREE, CANDIDATES, ALPHA, LIST = 20, 6, 48, 1.2, 32
 #: Rows of a shard from which the longer edges are chosen.
 PART = 200
@@ -88,7 +97,7 @@ def fit(x: np.ndarray, share: float, cosine: float, seed: int = 7) -> tuple[np.n
     rest = x
     for c in balls:
         rest = rest[rest @ c < 1 - (near / 2) ** 2 / 2]
-    k = int(np.clip(len(rest) / max(share, 1e-12) // SHARD, 1, min(CENTRES_MOST, max(len(rest) // 8, 1)))) if len(rest) else 1
+    k = int(np.clip(len(rest) / max(share, 1e-12) // SHARD, 1, max(len(rest) // 8, 1))) if len(rest) else 1
     centres = rest[rng.choice(len(rest), k, replace=False)] if len(rest) else x[:1]
     for _ in range(6 if k > 1 else 1):
         own = np.concatenate([(rest[a : a + 4096] @ centres.T).argmax(1) for a in range(0, len(rest), 4096)]) if len(rest) else np.zeros(0, int)
@@ -162,10 +171,9 @@ def _pruned(x: np.ndarray, among: np.ndarray, degree: int, candidates: int) -> n
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) pairs in range: greedy from the nearest medoids, then expanding what lies in range."""
     n, q = len(x), len(queries)
-    entry = medoids(x)
     near = queries @ x[entry].T
     take = min(LIST // 4, len(entry))
     best = np.argsort(-near, axis=1, kind="stable")[:, :take]
@@ -215,8 +223,8 @@ def search(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, cosine: float)
     return np.nonzero(hit)
 
 
-def assign(rows: DataFrame, model: dict, cosine: float) -> DataFrame:
-    """vec_id, label, key, unit vector, ball and shard of every usable row, one row for each of its shards.
+def assign(rows: DataFrame, model: dict, cosine: float, overlap: int = OVERLAP) -> DataFrame:
+    """vec_id, label, key, unit vector, ball, shard and all its shards of every usable row, one row for each of its shards.
 
     They are those of its nearest centres and of every ball in reach; it is stored and searched for in all.
     """
@@ -239,7 +247,7 @@ def assign(rows: DataFrame, model: dict, cosine: float) -> DataFrame:
                         s = x @ balls.T
                         ball = np.where(s.max(1) >= inner, s.argmax(1), -1)
                     s = x @ centres.T
-                    take = min(OVERLAP, len(centres))
+                    take = min(overlap, len(centres))
                     shard = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < len(centres) else np.tile(np.arange(take), (len(x), 1))
                     who, shard = np.repeat(np.arange(len(x)), take), shard.ravel()
                     if len(balls):
@@ -248,16 +256,72 @@ def assign(rows: DataFrame, model: dict, cosine: float) -> DataFrame:
                         home = (balls @ centres.T).argmax(1)
                         both = np.unique(np.stack([np.concatenate([who, more]), np.concatenate([shard, home[of]])], 1), axis=0)
                         who, shard = both[:, 0], both[:, 1]
+                    else:
+                        o = np.lexsort((shard, who))
+                        who, shard = who[o], shard[o]
+                    count = np.bincount(who, minlength=len(x))
+                    first = np.cumsum(count) - count
+                    ends = np.append(0, np.cumsum(count[who]))
+                    every = shard[np.repeat(first[who] - ends[:-1], count[who]) + np.arange(ends[-1])]
+                    every = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(every.astype(np.int32)))
                     unit_rows = pa.FixedSizeListArray.from_arrays(pa.array(x[who].ravel()), int(size)).cast(pa.list_(pa.float64()))
                     columns = [part.column(c).take(pa.array(who)) for c in ("vec_id", "label", "key")]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(who), size, np.int32)), pa.array(ball[who]), pa.array(shard.astype(np.int32)), unit_rows], names=["vec_id", "label", "key", "size", "ball", "shard", "x"])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(who), size, np.int32)), pa.array(ball[who]), pa.array(shard.astype(np.int32)), every, unit_rows], names=["vec_id", "label", "key", "size", "ball", "shard", "every", "x"])
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("vec_id", "label")}
-    return rows.select("vec_id", "label", "key", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, key bigint, size int, ball bigint, shard int, x array<double>")
+    return rows.select("vec_id", "label", "key", "embedding").mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, key bigint, size int, ball bigint, shard int, every array<int>, x array<double>")
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows is joined with by the pairs (a, b)."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def first_shared(every: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first shard that rows a and b both lie in; every: each row's shards, filled up with -1."""
+    out = np.full(len(a), np.iinfo(np.int32).max, np.int64)
+    for k in range(every.shape[1]):
+        mine = every[a, k]
+        both = (mine >= 0) & (every[b] == mine[:, None]).any(1)
+        out[both] = np.minimum(out[both], mine[both])
+    return out
+
+
+def audit(rows: DataFrame, links: DataFrame, cosine: float) -> float:
+    """Recall of links (key, links) over the query set, compared with all rows; 1 if the set has no links."""
+    own = F.col("vec_id").cast("decimal(38,0)")
+    asked = rows.orderBy(F.coalesce(own % 100 != 0, F.lit(True)), F.xxhash64("vec_id", "key")).limit(AUDIT).select("key", "label", "embedding").collect()
+    by: dict[tuple, list] = {}
+    for r in asked:
+        by.setdefault((r.label, len(r.embedding)), []).append(r)
+    queries = {k: (np.array([r.key for r in v]), unit(np.array([r.embedding for r in v], float))) for k, v in by.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = batch.column("label").to_numpy(zero_copy_only=False)
+            sizes = np.diff(batch.column("embedding").offsets.to_numpy())
+            for (label, size), (key, q) in queries.items():
+                part = batch.filter(pa.array((labels == label) & (sizes == size)))
+                if part.num_rows:
+                    near = q @ matrix(part.column("embedding")).T >= cosine
+                    near &= key[:, None] != part.column("key").to_numpy()[None, :]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(near.sum(1))], names=["key", "real"])
 
+    real = rows.select("key", "label", "embedding").mapInArrow(run, "key bigint, real bigint").groupBy("key").agg(F.sum("real").alias("real"))
+    got = real.join(links, "key", "left").agg(F.sum("real").alias("real"), F.sum(F.least("real", F.coalesce("links", F.lit(0)))).alias("found")).first()
+    return 1.0 if not got.real else got.found / got.real
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row."""
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, report: dict | None = None) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row; report, if given, gets the audited recall."""
     marked = materialize(vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding")).withColumn("usable", usable()).withColumn("key", F.monotonically_increasing_id()), "vectors")
     rows = marked.where("usable and vec_id is not null")
     total = max(rows.count(), 1)
@@ -267,16 +331,39 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         by.setdefault((r.label, len(r.embedding)), []).append(r.embedding)
     share = min(1.0, len(sample) / total)
     model = {k: fit(unit(np.array(v, float)), share, cosine) for k, v in by.items()}
+    most = max((len(centres) for centres, _ in model.values()), default=1)
+
+    for n in range(WIDENINGS + 1):
+        named, joined = linked(rows, model, cosine, overlap << n)
+        recall = audit(rows, named.select("key", "links"), cosine)
+        logging.getLogger(__name__).info("recall %.4f over the audited queries, with %d shards a vector", recall, overlap << n)
+        if recall >= RECALL or overlap << n >= most or n == WIDENINGS:
+            break
+        discard(named)
+        discard(joined)
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"audited recall {recall:.3f} is below {LEAST_RECALL}")
+    if report is not None:
+        report |= {"recall": recall, "shards": overlap << n}
+
+    ids = named.select("key", "vec_id")
+    edges = joined.join(ids.select("key", F.col("vec_id").alias("a")), "key").join(ids.select(F.col("key").alias("root"), F.col("vec_id").alias("b")), "root").select("a", "b")
+    edges = edges.union(named.where("least is not null").select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
+    found = components(edges, "vec")
+    out = marked.select("key", "vec_id").join(named.select("key", "links"), "key", "left").join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
 
-    placed = materialize(assign(rows, model, cosine), "placed")
+def linked(rows: DataFrame, model: dict, cosine: float, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """(key, vec_id, links, least) of every row, least that of its ball; and a forest (key, root) of the found pairs."""
+    placed = materialize(assign(rows, model, cosine, overlap), "placed")
     # a ball's members are one group; they stay in the graph for the links of others with them
     shards = placed.groupBy("label", "size", "shard").agg(F.count("*").alias("rows"))
     blocks = F.ceil(F.col("rows") / SHARD_MOST).cast("int")
     dealt = placed.join(shards, ["label", "size", "shard"]).withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("blocks", blocks).drop("rows")
     dealt = materialize(dealt, "shards")
 
-    kind = vectors.schema["label"].dataType.simpleString()
-
     def build(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         a, b = prune(matrix(t.column("x").chunk(0)))
@@ -285,51 +372,59 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     edges = dealt.groupBy("label", "size", "shard", "block").applyInArrow(build, "key bigint, near bigint")
     lists = materialize(edges.groupBy("key").agg(F.collect_set("near").alias("near")), "graph")  # a shard's, of which none is over SHARD_MOST
-    stored = dealt.select("label", "size", "shard", "block", F.lit(True).alias("stored"), "vec_id", "key", "ball", "x").join(lists, "key", "left")
-    # a shard of several blocks is searched in each of them
+    stored = dealt.select("label", "size", "shard", "block", F.lit(True).alias("stored"), "key", "ball", "every", "x").join(lists, "key", "left")
+    # a shard of several blocks is compared with each of them
     queries = dealt.where("blocks > 1").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block")
-    queries = queries.select("label", "size", "shard", F.col("to").alias("block"), F.lit(False).alias("stored"), "vec_id", "key", "ball", "x", F.lit(None).cast("array<bigint>").alias("near"))
+    queries = queries.select("label", "size", "shard", F.col("to").alias("block"), F.lit(False).alias("stored"), "key", "ball", "every", "x", F.lit(None).cast("array<bigint>").alias("near"))
 
     def look(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        t = t.take(pa.array(np.argsort(t.column("key").to_numpy(), kind="stable"))).combine_chunks()
         x = matrix(t.column("x").chunk(0))
         key, ball, stored = (t.column(c).to_numpy() for c in ("key", "ball", "stored"))
-        own = np.flatnonzero(stored)
-        if not len(own):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        order = own[np.argsort(key[own], kind="stable")]
-        sorted_keys = key[order]
-        near = [v or [] for v in t.column("near").take(pa.array(order)).to_pylist()]
-        width = max(1, max(map(len, near)))
-        graph = np.full((len(order), width), -1, np.int64)
-        for k, v in enumerate(near):
-            if v:
-                v = np.array(v)
-                at = np.minimum(np.searchsorted(sorted_keys, v), len(order) - 1)
-                at = at[sorted_keys[at] == v]  # neighbours in other shards are searched there
-                graph[k, : len(at)] = at
-        a, b = [], []
-        for lo in range(0, len(x), 256):
-            q, found = search(x[order], graph, x[lo : lo + 256], cosine)
-            q, rows_ = lo + q, order[found]
-            ok = (key[q] != key[rows_]) & ~((ball[q] == ball[rows_]) & (ball[q] >= 0))
-            a.append(key[q[ok]])
-            b.append(key[rows_[ok]])
-        return pa.table({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    found = stored.select("label", "size", "shard", "block", "stored", "vec_id", "key", "ball", "x", "near").union(queries).groupBy("label", "size", "shard", "block").applyInArrow(look, "a bigint, b bigint")
-    one = found.where("a <> b")
-    pairs = materialize(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    ids = materialize(placed.select("key", "vec_id", "label", "size", "ball").distinct(), "ids")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    degree = both.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "key")
-    balls = ids.where("ball >= 0").groupBy("label", "size", "ball").agg(F.count("*").alias("members"), F.min("vec_id").alias("least"))
-    named = ids.join(F.broadcast(balls), ["label", "size", "ball"], "left")  # a ball takes BALL_LEAST rows of the bounded sample, so there are few
-    named = materialize(named.select("key", "vec_id", "members", "least"), "named")
-    edges2 = pairs.join(named.select(F.col("key").alias("a"), F.col("vec_id").alias("va")), "a").join(named.select(F.col("key").alias("b"), F.col("vec_id").alias("vb")), "b").select(F.col("va").alias("a"), F.col("vb").alias("b"))
-    edges2 = edges2.union(named.where("least is not null").select(F.col("vec_id").alias("a"), F.col("least").alias("b")))
-    found = components(edges2, "vec")
-    out = marked.select("key", "vec_id").join(named.select("key", "members"), "key", "left").join(degree, "key", "left").join(found.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))
-    out = out.select("vec_id", links.cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        lists_ = t.column("every").to_pylist()
+        every = np.full((len(x), max(map(len, lists_))), -1, np.int64)
+        for k, v in enumerate(lists_):
+            every[k, : len(v)] = v
+        own, other = np.flatnonzero(stored), np.flatnonzero(~stored)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(own):
+            near = [v or [] for v in t.column("near").take(pa.array(own)).to_pylist()]
+            graph = np.full((len(own), max(1, *map(len, near))), -1, np.int64)
+            for k, v in enumerate(near):
+                if v:
+                    at = np.minimum(np.searchsorted(key[own], v), len(own) - 1)
+                    at = at[key[own][at] == v]  # neighbours in other shards are searched there
+                    graph[k, : len(at)] = at
+            entry = medoids(x[own])
+            for lo in range(0, len(own), 256):
+                q, found = search(x[own], graph, entry, x[own[lo : lo + 256]], cosine)
+                a.append(own[lo + q])
+                b.append(own[found])
+        i, j = np.concatenate(a), np.concatenate(b)
+        both = np.unique(np.concatenate([i * len(x) + j, j * len(x) + i]))  # what one of two has found the other has too
+        i, j = both // len(x), both % len(x)
+        for lo in range(0, len(other), 256):
+            q, found = np.nonzero(x[other[lo : lo + 256]] @ x[own].T >= cosine)
+            i, j = np.append(i, other[lo + q]), np.append(j, own[found])
+        ok = (i != j) & ~((ball[i] == ball[j]) & (ball[i] >= 0))
+        i, j = i[ok], j[ok]
+        here = first_shared(every, i, j) == t.column("shard")[0].as_py()
+        count = np.bincount(i[here], minlength=len(x))
+        root = forest(len(x), i, j)
+        some = np.flatnonzero((count > 0) | (root != np.arange(len(x))))
+        return pa.table({"key": pa.array(key[some]), "n": pa.array(count[some]), "root": pa.array(key[root[some]])})
+
+    names = ("label", "size", "shard", "block", "stored", "key", "ball", "every", "x", "near")
+    found = stored.select(*names).union(queries).groupBy("label", "size", "shard", "block").applyInArrow(look, "key bigint, n bigint, root bigint")
+    found = materialize(found, "links")
+    ids = placed.select("key", "vec_id", "label", "size", "ball").distinct()
+    balls = placed.where("ball >= 0").select("key", "vec_id", "label", "size", "ball").distinct().groupBy("label", "size", "ball").agg(F.count("*").alias("members"), F.min("vec_id").alias("least"))
+    degree = found.groupBy("key").agg(F.sum("n").alias("n"))
+    named = ids.join(F.broadcast(balls), ["label", "size", "ball"], "left").join(degree, "key", "left")  # a ball takes BALL_LEAST rows of the bounded sample, so there are few
+    links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("members") - 1, F.lit(0))
+    named = materialize(named.select("key", "vec_id", links.alias("links"), "least"), "named")
+    joined = materialize(found.where("key <> root").select("key", "root").distinct(), "forest")
+    for t in (placed, dealt, lists, found):
+        discard(t)
+    return named, joined

@@ -72,7 +72,7 @@ def test_recall_of_the_graph():
     width = np.bincount(a).max()
     graph = np.full((len(x), width), -1)
     graph[a, np.concatenate([np.arange(k) for k in np.bincount(a, minlength=len(x))])] = b
-    q, found = E.search(x, graph, x, 0.98)
+    q, found = E.search(x, graph, E.medoids(x), x, 0.98)
     want = (x @ x.T >= 0.98).sum()
     assert len(q) >= 0.99 * want and ((x[q] * x[found]).sum(1) >= 0.98 - 1e-12).all()
 
@@ -98,3 +98,30 @@ def test_every_ball_in_reach(spark):
     rows = spark.createDataFrame([(k, 0, k, v.tolist()) for k, v in enumerate(at(0.14, -0.05))], "vec_id long, label int, key long, embedding array<double>")
     shards = {k: {r.shard for r in E.assign(rows, model, 0.98).where(f"key = {k}").collect()} for k in (0, 1)}
     assert shards[0] & shards[1]
+
+
+def test_audit_counts_all_rows_and_widens(spark, monkeypatch):
+    rows = make(5)
+    report = {}
+    out = E.near_vectors(table(spark, rows), report=report)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == brute(rows) and report == {"recall": 1.0, "shards": 3}
+    df = table(spark, rows).where("label = 1").selectExpr("vec_id", "label", "cast(embedding as array<double>) AS embedding", "vec_id AS key")
+    real = brute([r for r in rows if r[1] == 1])
+    half = spark.createDataFrame([(i, n // 2) for i, (n, _) in real.items()], "key long, links long")
+    asked = sorted(real)  # fewer than the audit's bound, so all are asked
+    monkeypatch.setattr(E, "AUDIT", len(asked))
+    want = sum(real[i][0] // 2 for i in asked) / sum(real[i][0] for i in asked)
+    assert abs(E.audit(df, half, 0.98) - want) < 1e-12
+    # shards that miss links are noticed, and more of them are searched
+    monkeypatch.setattr(E, "SHARD", 40)
+    found = []
+    real_audit = E.audit
+    monkeypatch.setattr(E, "audit", lambda *a: found.append(real_audit(*a)) or (0.5 if len(found) == 1 else found[-1]))
+    E.near_vectors(table(spark, rows), overlap=1, report=report)
+    assert len(found) == 2 and report["shards"] == 2
+
+
+def test_forest_and_first_shared():
+    assert E.forest(6, np.array([5, 1, 3]), np.array([1, 2, 4])).tolist() == [0, 1, 1, 3, 3, 1]
+    every = np.array([[2, 5, -1], [5, 7, 2], [7, -1, -1], [-1, 9, 5]])
+    assert E.first_shared(every, np.array([0, 0, 1, 0]), np.array([1, 2, 2, 3])).tolist() == [2, 2**31 - 1, 7, 5]
