@@ -2,30 +2,35 @@
 
 Every training document is cut into overlapping passages that are long enough to hold any item whole,
 and each passage is a query. Postings are grouped into blocks of items; a term's largest contribution in
-each block is its block-max. A block whose summed block-maxima stay below the threshold holds no hit
-and is skipped without being scored; the rest are scored in full, so everything above the threshold is
-retrieved. BM25 scores are divided by the item's score against its own text, so 1 is a full match.
+each block that it occurs in is its block-max. A block whose summed block-maxima stay below the threshold
+is skipped with all its postings. In the others the terms' cursors move by pivots: terms are ordered by
+the items they stand at, the first at which the summed maxima reach the threshold is the pivot, and
+cursors before it skip to it; only items at which a pivot holds are scored. So everything above the
+threshold is retrieved. BM25 scores are divided by the item's score against its own text, so 1 is a full match.
 
 Hits are then verified: an item's answer is its last sentence (its last quarter, three words at least,
 if that is shorter), the question is what stands before; enough word n-grams of both must stand in the
-passage.
+passage. Of an item's passages the one with the best score, then the best overlaps counts.
 
 Words are runs of letters and digits, A-Z lower-cased. Null and empty texts match nothing, items without
 words are not searched for, and items with a null id still make a document contaminated. The test set is
-searched in shards of `SHARD_ITEMS` items, so its size does not matter to a worker's memory; all
-statistics are of the whole test set.
+indexed by Spark in shards of about `SHARD_ITEMS` items and `SHARD_WORDS` words, each a row of a table in the
+shared folder, with statistics of the whole test set. One shard at a time is read and sent to the tasks, so
+neither the driver nor a worker ever holds more; with several shards each is a pass over the documents.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from dunlin.llm.common import LOWER, PUNCTUATION, bounded_batches, mix, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, PUNCTUATION, bounded_batches, discard, materialize, mix, span_hashes, text_slices, utf8, words
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach.
@@ -33,7 +38,7 @@ THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.5
 GRAM = 4
 BLOCK = 8
-SHARD_ITEMS = 20_000
+SHARD_ITEMS, SHARD_WORDS = 20_000, 2_000_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _WIDE = np.int64(1) << np.int64(40)
@@ -99,8 +104,45 @@ class Index:
         self.start = np.append(start, len(term))
         self.owner, self.value = owner[order], value[order]
         self.blocks = -(-len(parsed) // BLOCK)
-        self.maxima = np.zeros((len(self.terms), self.blocks), np.float32)
-        np.maximum.at(self.maxima, (np.repeat(np.arange(len(self.terms)), np.diff(self.start)), self.owner // BLOCK), self.value.astype(np.float32))
+        # each posting's place in the order of (term, item), and the block-maxima of the blocks that a term occurs in
+        self.place = np.repeat(np.arange(len(self.terms)), np.diff(self.start)) * len(parsed) + self.owner
+        entry = np.repeat(np.arange(len(self.terms)), np.diff(self.start)) * self.blocks + self.owner // BLOCK
+        first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
+        self.block_of, self.maximum = entry[first] % self.blocks, np.maximum.reduceat(self.value, first)
+        self.entries = np.searchsorted(entry[first] // self.blocks, np.arange(len(self.terms) + 1))
+
+    def bounds(self, term: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Summed block-maxima of each row's terms, for every block."""
+        count = self.entries[term + 1] - self.entries[term]
+        at = np.repeat(self.entries[term] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        return np.bincount(np.repeat(row, count) * self.blocks + self.block_of[at], weights=self.maximum[at], minlength=rows * self.blocks).reshape(rows, self.blocks)
+
+    def wand(self, terms: np.ndarray, block: int, threshold: float) -> Iterator[tuple[int, float]]:
+        """(item, score) of a block's items that reach the threshold, by pivots over the terms' cursors."""
+        n = len(self.items)
+        low = np.searchsorted(self.place, terms * n + block * BLOCK)
+        high = np.searchsorted(self.place, terms * n + min((block + 1) * BLOCK, n))
+        live = low < high
+        terms, cursor, high = terms[live], low[live], high[live]
+        maximum = np.maximum.reduceat(np.append(self.value, 0.0), np.stack([cursor, high], 1).ravel())[::2]
+        while len(terms):
+            item = self.owner[cursor]
+            order = np.argsort(item, kind="stable")
+            reach = np.cumsum(maximum[order])
+            k = int(np.searchsorted(reach, threshold - 1e-9))
+            if k == len(order):
+                return
+            pivot = item[order[k]]
+            if item[order[0]] == pivot:
+                here = item == pivot
+                score = float(self.value[cursor[here]].sum())
+                if score >= threshold:
+                    yield int(pivot), score
+                cursor = cursor + here
+            else:
+                cursor = np.where(item < pivot, np.searchsorted(self.place, terms * n + pivot), cursor)
+            live = cursor < high
+            terms, cursor, high, maximum = terms[live], cursor[live], high[live], maximum[live]
 
     def search(self, h: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item, score, question overlap, answer overlap) of every verified hit, passage by passage."""
@@ -124,7 +166,8 @@ class Index:
         while done < len(strides):
             stop = min(max(done + 1, int(np.searchsorted(begin, begin[done] + step, "right")) - 1), len(strides))
             reach = min(stop + 1, len(strides))  # the next stride ends the last passage
-            bound = np.add.reduceat(self.maxima[term[begin[done] : begin[reach]]], begin[done:reach] - begin[done], axis=0)
+            part = slice(begin[done], begin[reach])
+            bound = self.bounds(term[part], group[part] - done, reach - done)
             follows = strides[done + 1 : reach] == strides[done : reach - 1] + 1
             bound[:-1][follows] += bound[1:][follows]
             near, blocks = np.nonzero(bound[: stop - done] >= threshold - 1e-5)
@@ -133,40 +176,52 @@ class Index:
                 if p != last:
                     last, two = p, p + 1 < len(strides) and strides[p + 1] == strides[p] + 1
                     mine = np.unique(term[begin[p] : begin[p + 1 + two]])
-                    count = self.start[mine + 1] - self.start[mine]
-                    where = np.repeat(self.start[mine] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                    scores = np.bincount(self.owner[where], weights=self.value[where], minlength=len(self.items))
                     r, k = int(strides[p] // _WIDE), int(strides[p] % _WIDE)
                     text = h[first[r] + k * stride : min(first[r] + (k + 2) * stride, first[r + 1])]
-                for i in range(block * BLOCK, min((block + 1) * BLOCK, len(self.items))):
-                    if scores[i] >= threshold:
-                        item = self.items[i]
-                        q = np.isin(item.question, grams(text, item.question_size)).mean() if len(item.question) else 1.0
-                        yield r, i, float(scores[i]), float(q), float(np.isin(item.answer, grams(text, item.answer_size)).mean())
+                for i, score in self.wand(mine, block, threshold):
+                    item = self.items[i]
+                    q = np.isin(item.question, grams(text, item.question_size)).mean() if len(item.question) else 1.0
+                    yield r, i, score, float(q), float(np.isin(item.answer, grams(text, item.answer_size)).mean())
             done = stop
 
 
-def test_set(benchmark: DataFrame, id_col: str = "item_id") -> list[Index]:
-    """The indexes of the test set's shards, read one shard at a time."""
-    counts: dict[int, int] = {}
-    total = size = 0
-    rows = benchmark.select(id_col, "text").where("text is not null")
-    for r in rows.select("text").toLocalIterator():
-        buf = LOWER[np.frombuffer(r.text.encode("utf-8"), np.uint8)]
-        starts, ends, _ = words(buf, np.array([0, len(buf)]), PUNCTUATION)
-        if len(starts):
-            total, size = total + 1, size + len(starts)
-            for x in np.unique(span_hashes(buf, starts, ends)).tolist():
-                counts[x] = counts.get(x, 0) + 1
-    out, shard = [], []
-    for r in rows.toLocalIterator():
-        shard.append((r[0], r[1]))
-        if len(shard) == SHARD_ITEMS:
-            out.append(Index(shard, counts, total, size / max(total, 1)))
-            shard = []
-    if shard:
-        out.append(Index(shard, counts, total, size / max(total, 1)))
-    return out
+def test_set(benchmark: DataFrame, id_col: str = "item_id") -> tuple[DataFrame, int]:
+    """(shard, index) of the test set in the shared folder, and the number of shards; nothing of its size is on the driver."""
+    kind = benchmark.schema[id_col].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, first = hashed_words(batch, "text")
+            lists = [np.unique(h[a:b]).view(np.int64) for a, b in zip(first, first[1:])]
+            ends = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+            distinct = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(np.diff(first)), distinct], names=["id", "text", "n", "words"])
+
+    rows = benchmark.select(F.col(f"`{id_col}`").alias("id"), "text").where("text is not null")
+    rows = rows.mapInArrow(parse, f"id {kind}, text string, n bigint, words array<bigint>").where("n > 0")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "items")
+    total, size = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not total:
+        return rows.select(F.lit(0).alias("shard"), F.lit(b"").alias("index")), 0
+    shards = max(-(-total // SHARD_ITEMS), -(-size // SHARD_WORDS))
+    each = rows.select("row", F.explode("words").alias("word"))
+    known = each.join(each.groupBy("word").agg(F.count("*").alias("df")), "word").groupBy("row").agg(F.collect_list(F.struct("word", "df")).alias("known"))  # of one item
+    dealt = rows.select("row", "id", "text", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")).join(known, "row")
+
+    def build(t: pa.Table) -> pa.Table:
+        counts = {k["word"] & (1 << 64) - 1: k["df"] for known in t.column("known").to_pylist() for k in known}
+        made = Index(list(zip(t.column("id").to_pylist(), t.column("text").to_pylist())), counts, total, size / total)
+        return pa.table({"shard": pa.array([t.column("shard")[0].as_py()], pa.int32()), "index": pa.array([pickle.dumps(made)], pa.binary())})
+
+    out = materialize(dealt.groupBy("shard").applyInArrow(build, "shard int, index binary"), "index")
+    discard(rows)
+    return out, shards
+
+
+def shard_of(indexes: DataFrame, shard: int) -> Index | None:
+    """One shard's index, which is of bounded size; none if no item fell into it."""
+    row = indexes.where(F.col("shard") == shard).first()
+    return pickle.loads(bytes(row["index"])) if row else None
 
 
 def hashed_words(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -178,45 +233,59 @@ def hashed_words(batch: pa.RecordBatch, text_col: str) -> tuple[np.ndarray, np.n
 
 def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
     """id, item id, score, question_overlap and answer_overlap: a row for each verified pair of row and item, with its best passage."""
-    bounded_batches(docs.sparkSession)
-    indexes = test_set(benchmark, item_col)
-    kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text"):
-                h, first = hashed_words(batch, "text")
-                best: dict[tuple[int, int, int], tuple[float, float, float]] = {}
-                for n, index in enumerate(indexes):
-                    for r, i, *found in index.search(h, first, threshold):
-                        if found[1] >= QUESTION and found[2] >= ANSWER:
-                            best[r, n, i] = max(best.get((r, n, i), (0.0, 0.0, 0.0)), tuple(found))
-                keys = list(best)
-                names = [id_col, item_col, "score", "question_overlap", "answer_overlap"]
-                ids = batch.column(id_col).take(pa.array([k[0] for k in keys], pa.int64()))
-                items = pa.array([indexes[n].items[i].id for _, n, i in keys], type=item_type)
-                yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([best[k][c] for k in keys], pa.float64()) for c in range(3))], names=names)
-
     from pyspark.sql.pandas.types import to_arrow_type
 
+    bounded_batches(docs.sparkSession)
+    indexes, shards = test_set(benchmark, item_col)
+    kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, score double, question_overlap double, answer_overlap double")
+    names = [id_col, item_col, "score", "question_overlap", "answer_overlap"]
+
+    def of(index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in text_slices(whole, "text"):
+                    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+                    for r, i, *found in index.search(*hashed_words(batch, "text"), threshold):
+                        if found[1] >= QUESTION and found[2] >= ANSWER:
+                            best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), tuple(found))
+                    keys = list(best)
+                    ids = batch.column(id_col).take(pa.array([r for r, _ in keys], pa.int64()))
+                    items = pa.array([index.items[i].id for _, i in keys], type=item_type)
+                    yield pa.RecordBatch.from_arrays([ids, items, *(pa.array([best[k][c] for k in keys], pa.float64()) for c in range(3))], names=names)
+
+        return docs.select(id_col, "text").mapInArrow(run, f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, score double, question_overlap double, answer_overlap double")
+
+    if shards <= 1:
+        return of(shard_of(indexes, 0) or Index([], {}, 0, 1.0))
+    out = None
+    for k in range(shards):
+        index = shard_of(indexes, k)
+        if index is not None:
+            part = materialize(of(index), "hits")
+            out = part if out is None else out.union(part)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that hold no item of the test set; a narrow map, no shuffle."""
+    """The rows of docs, all columns, that hold no item of the test set; a narrow map for each shard, no shuffle."""
     bounded_batches(docs.sparkSession)
-    indexes = test_set(benchmark, benchmark.columns[0] if "item_id" not in benchmark.columns else "item_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, "text"):
-                h, first = hashed_words(batch, "text")
-                keep = np.ones(batch.num_rows, bool)
-                for index in indexes:
-                    for r, _, _, q, a in index.search(h, first, threshold):
+    indexes, shards = test_set(benchmark, benchmark.columns[0] if "item_id" not in benchmark.columns else "item_id")
+
+    def of(rows: DataFrame, index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in text_slices(whole, "text"):
+                    keep = np.ones(batch.num_rows, bool)
+                    for r, _, _, q, a in index.search(*hashed_words(batch, "text"), threshold):
                         if q >= QUESTION and a >= ANSWER:
                             keep[r] = False
-                yield batch.filter(pa.array(keep))
+                    yield batch.filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    for k in range(shards):
+        index = shard_of(indexes, k)
+        if index is not None:
+            docs = of(docs, index) if shards == 1 else materialize(of(docs, index), "clean")
+    return docs
