@@ -8,7 +8,7 @@ Feistel network, so a value has the same pseudonym in every document and no two
   alone: first the usual layouts (solid, 4-4-4-4, 4-6-5 and such), then a whole run of 13 to 19 digits,
   then other groups of 3 to 7 digits; the leftmost counts where valid ones overlap, the longest of its place;
 * IPv4 addresses (four numbers to 255): the 32-bit number is permuted;
-* phone numbers (+country code, or a bracketed area code, or groups of 3, 3 and 4; 10 to 15 digits)
+* phone numbers (+country code, or a bracketed area code, or groups of 3, 3 and 4; 9 to 15 digits)
   and numbers in the groups 3-2-4: the digits after a country code are permuted;
 * dates (valid, 1900-01-01 to 2099-11-12; y-m-d, y/m/d, d.m.y, m/d/y): the day number is permuted, so
   one day written in two ways stays one day;
@@ -21,11 +21,12 @@ empty; every row gives one row, with its other columns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "dunlin"
+#: The session setting that holds the key, and what the registered queries use where it is unset, as in tests.
+KEY_SETTING, TEST_KEY = "spark.dunlin.pii.key", "not secret"
 
 _OCT = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Patterns, each anchored so that it starts and ends outside a longer number or word.
@@ -261,8 +262,15 @@ def replaced(m: Column, key: str) -> Column:
     return F.when(k == "card", card(m, key)).otherwise(bind(out, lambda o: F.struct(o.alias("value"), (o != m).cast("int").alias("n"))))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with the private values of text_col replaced; count_col, if named, counts the values changed."""
+def session_key(spark: SparkSession) -> str:
+    """The key of the session; a known one where none is set, which hides nothing from its readers."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the private values of text_col replaced under the caller's key; count_col, if named, counts the values changed."""
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(f"`{text_col}`")
     may = text.rlike("[0-9@]|(?i:token|secret|passw|pwd|api[_-]?key)") & text.rlike(ANY)
     old, new, parts = "__dunlin_old", "__dunlin_new", "__dunlin_parts"

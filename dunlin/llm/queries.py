@@ -44,9 +44,9 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dunlin.llm.pii import pseudonymise
+    from dunlin.llm.pii import pseudonymise, session_key
 
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_replaced")
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark), count_col="n_replaced")
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,25 @@
+import datetime as dt
+import hashlib
+import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
+from dunlin.llm import pii as P
 from dunlin.llm.pii import pseudonymise
 
+KEY = "a test key"
+
 
 def luhn(s):
     d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
     return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(d)) % 10 == 0
 
 
-def run(spark, texts, **more):
+def run(spark, texts, key=KEY, **more):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id int, text string")
-    return [r.text for r in pseudonymise(df, **more).orderBy("doc_id").collect()]
+    return [r.text for r in pseudonymise(df, key, **more).orderBy("doc_id").collect()]
 
 
 def test_formats_and_links(spark):
@@ -49,9 +58,9 @@ def test_one_to_one_and_keyed(spark):
 
 def test_other_columns_and_counts(spark):
     df = spark.createDataFrame([("a@b.com and a@b.com", "keep", 1)], "text string, __old string, parts int")
-    row = pseudonymise(df, count_col="n").first()
+    row = pseudonymise(df, KEY, count_col="n").first()
     assert row["__old"] == "keep" and row.parts == 1 and row.n == 2 and len(set(row.text.split(" and "))) == 1
-    assert pseudonymise(df.limit(0)).count() == 0
+    assert pseudonymise(df.limit(0), KEY).count() == 0
 
 
 def test_long_text(spark):
@@ -79,7 +88,7 @@ def test_cards_beside_other_digits(spark):
     for (text, want), got in zip(texts.items(), run(spark, list(texts))):
         assert got == want or want is None and new_other in got and "7536784127813050" not in got
     df = spark.createDataFrame([(f"{card} {other} 2024",)], "text string")
-    assert pseudonymise(df, count_col="n").first().n == 2
+    assert pseudonymise(df, KEY, count_col="n").first().n == 2
 
 
 def test_other_values_beside_cards(spark):
@@ -89,3 +98,91 @@ def test_other_values_beside_cards(spark):
     beside = run(spark, [f"{card} {v}" for v in values] + [f"{v} {card}" for v in values] + [f"{v} 4111 1111 1111 1111" for v in values])
     grouped = " ".join(re.findall("....", alone[0]))
     assert beside == [f"{alone[0]} {v}" for v in alone[1:]] + [f"{v} {alone[0]}" for v in alone[1:]] + [f"{v} {grouped}" for v in alone[1:]]
+
+
+def sha(*parts):
+    return hashlib.sha512("|".join(parts).encode()).hexdigest()
+
+
+def plain_permuted(s, tweak, key, hexadecimal=False):
+    """The network on strings, written out character by character."""
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for n in range(1, 9):
+        h = sha(key, str(n), tweak, str(len(s)), right)
+        moved = ""
+        for i, c in enumerate(left):
+            by, size = int(h[i % 32 * 4 : i % 32 * 4 + 4], 16), 6 if hexadecimal else 26
+            low, size = ("0", 10) if "0" <= c <= "9" else ("a", size) if "a" <= c < chr(97 + size) else ("A", size) if "A" <= c < chr(65 + size) else (c, 1)
+            moved += chr(ord(low) + (ord(c) - ord(low) + by) % size)
+        left, right = right, moved
+    return left + right
+
+
+def plain_number(x, a, b, tweak, key):
+    left, right = divmod(x, b)
+    for n in range(1, 9):
+        other = right if n % 2 else left
+        v = int(sha(key, tweak, str(n), str(other))[:12], 16)
+        left, right = ((left + v) % a, right) if n % 2 else (left, (right + v) % b)
+    return left * b + right
+
+
+def plain(text, key):
+    """The pseudonyms of one value of a known kind."""
+    if "@" in text:
+        name, host = text.split("@")
+        return plain_permuted(name, "email", key) + "@" + host
+    if m := re.fullmatch(r"(token = \")(\w+)", text):
+        return m[1] + plain_permuted(m[2], "hex" if re.fullmatch("[0-9a-f]+", m[2]) else "secret", key, bool(re.fullmatch("[0-9a-f]+", m[2])))
+    if re.fullmatch(r"\d+\.\d+\.\d+\.\d+", text):
+        n = 0
+        for x in text.split("."):
+            n = n * 256 + int(x)
+        n = plain_number(n, 65536, 65536, "ip", key)
+        return ".".join(str(n >> k & 255) for k in (24, 16, 8, 0))
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", text):
+        first = dt.date(1900, 1, 1)
+        return str(first + dt.timedelta(plain_number((dt.date.fromisoformat(text) - first).days, 365, 200, "date", key)))
+    code = m[0] if (m := re.match(r"\+\d{1,3}(?=[ .(-])", text)) else ""
+    digits = re.sub(r"\D", "", text[len(code) :])
+    if code or len(digits) < 13:
+        new = iter(plain_permuted(digits, "number", key))
+    else:
+        body = plain_permuted(digits[:-1], "card", key)
+        new = iter(body + next(c for c in "0123456789" if luhn(body + c)))
+    return code + "".join(next(new) if c.isdigit() else c for c in text[len(code) :])
+
+
+def test_equals_the_network_written_out(spark):
+    rnd = random.Random(3)
+    num = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + num(14)
+        d = body + next(c for c in "0123456789" if luhn(body + c))
+        return rnd.choice([d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}"])
+
+    makers = [
+        card,
+        lambda: ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
+        lambda: str(dt.date(1900, 1, 1) + dt.timedelta(rnd.randrange(73_000))),
+        lambda: f"+{rnd.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}",
+        lambda: f"({num(3)}) {num(3)}-{num(4)}",
+        lambda: f"{num(3)}-{num(2)}-{num(4)}",
+        lambda: f"Some.Name{num(2)}@mail.example.com",
+        lambda: 'token = "' + "".join(rnd.choice("0123456789abcdef") for _ in range(40)),
+        lambda: 'token = "' + "".join(rnd.choice("XYZuvw019") for _ in range(24)),
+    ]
+    values = [rnd.choice(makers)() for _ in range(250)]
+    assert run(spark, [f"so {v} it is" for v in values]) == [f"so {plain(v, KEY)} it is" for v in values]
+
+
+def test_key_is_asked_for_and_changes_all(spark):
+    df = spark.createDataFrame([(1, "ip 152.143.123.131", "p")], "doc_id int, text string, __key string")
+    a, b = (pseudonymise(df, k).first().text for k in ("one", "two"))
+    assert a != b and pseudonymise(df, "one").columns == df.columns
+    with pytest.raises(ValueError):
+        pseudonymise(df, "")
+    # a permutation: no two of many dates share a pseudonym
+    days = spark.range(0, 73_000, 7).select(P.permuted_number(F.col("id"), 365, 200, "date", KEY).alias("p"))
+    assert days.distinct().count() == days.count() and days.agg(F.max("p")).first()[0] < 73_000
