@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame
 that is written as Parquet and read again for the next. All but the last return the columns of
-documents.
+documents, extra ones too.
+
+An empty table gives an empty one at every stage. A null or empty text is a document with one empty line to the
+classifier, has no near-duplicates, holds no benchmark item and no private value, and has no tokens. Rows
+that repeat id and text are one document of which one row stays; of a group of near-duplicates a row with a
+null id stays only if no other has an id.
 """
 
 from __future__ import annotations
@@ -13,14 +18,11 @@ from pyspark.sql import functions as F
 from dunlin.llm import bpe, decontaminate, minhash, pii, quality
 from dunlin.llm.common import materialize
 
-#: Documents below this score are rejected; lower than the operator's own threshold, so that doubtful ones stay.
-LEAST_SCORE = 0.5
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.accepted(docs, model, LEAST_SCORE)
+    return quality.accepted(docs, model, quality.THRESHOLD)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, private values replaced by pseudonyms."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
