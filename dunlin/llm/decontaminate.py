@@ -40,6 +40,9 @@ GRAM = 4
 BLOCK = 8
 SHARD_ITEMS, SHARD_WORDS = 20_000, 2_000_000
 
+#: Up to so many places (terms times blocks) the block-maxima lie in a full table too, which is quicker to sum.
+TABLE_PLACES = 4 << 20
+
 _G = np.uint64(0x9E3779B97F4A7C15)
 _WIDE = np.int64(1) << np.int64(40)
 
@@ -110,6 +113,10 @@ class Index:
         first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
         self.block_of, self.maximum = entry[first] % self.blocks, np.maximum.reduceat(self.value, first)
         self.entries = np.searchsorted(entry[first] // self.blocks, np.arange(len(self.terms) + 1))
+        self.full = None
+        if len(self.terms) * self.blocks <= TABLE_PLACES:
+            self.full = np.zeros((len(self.terms), self.blocks), np.float32)
+            self.full.ravel()[entry[first]] = self.maximum
 
     def bounds(self, term: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
         """Summed block-maxima of each row's terms, for every block."""
@@ -167,7 +174,10 @@ class Index:
             stop = min(max(done + 1, int(np.searchsorted(begin, begin[done] + step, "right")) - 1), len(strides))
             reach = min(stop + 1, len(strides))  # the next stride ends the last passage
             part = slice(begin[done], begin[reach])
-            bound = self.bounds(term[part], group[part] - done, reach - done)
+            if self.full is None:
+                bound = self.bounds(term[part], group[part] - done, reach - done)
+            else:
+                bound = np.add.reduceat(self.full[term[part]], begin[done:reach] - begin[done], axis=0)
             follows = strides[done + 1 : reach] == strides[done : reach - 1] + 1
             bound[:-1][follows] += bound[1:][follows]
             near, blocks = np.nonzero(bound[: stop - done] >= threshold - 1e-5)

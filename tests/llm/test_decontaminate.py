@@ -37,11 +37,13 @@ def test_finds_all_leaks_and_only_them(spark, data):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - set(truth)) + [900, 901]
 
 
-def test_search_equals_scoring_everything(data):
+@pytest.mark.parametrize("places", [0, 4 << 20])
+def test_search_equals_scoring_everything(data, monkeypatch, places):
     """Block-max skipping loses no passage that reaches the threshold."""
     import numpy as np
     import pyarrow as pa
 
+    monkeypatch.setattr(D, "TABLE_PLACES", places)
     items, docs, _ = data
     from collections import Counter
 
@@ -74,6 +76,7 @@ def test_search_equals_scoring_everything(data):
 def test_shards_and_empty_tables(spark, data, monkeypatch):
     items, docs, truth = data
     monkeypatch.setattr(D, "SHARD_ITEMS", 7)
+    monkeypatch.setattr(D, "TABLE_PLACES", 0)
     bench, table = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(docs, "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.hits(table, bench).collect()} == set(truth.items())
     indexes, shards = D.test_set(bench)
