@@ -188,6 +188,8 @@ class Index:
                     mine = np.unique(term[begin[p] : begin[p + 1 + two]])
                     r, k = int(strides[p] // _WIDE), int(strides[p] % _WIDE)
                     text = h[first[r] + k * stride : min(first[r] + (k + 2) * stride, first[r + 1])]
+                if self.full is not None and self.full[mine, block].sum() < threshold - 1e-5:
+                    continue  # the strides' bounds count a word that stands in both twice
                 for i, score in self.wand(mine, block, threshold):
                     item = self.items[i]
                     q = np.isin(item.question, grams(text, item.question_size)).mean() if len(item.question) else 1.0
