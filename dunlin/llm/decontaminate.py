@@ -37,7 +37,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 QUESTION, ANSWER = 0.6, 0.5
 GRAM = 4
-BLOCK = 8
+BLOCK = 4
 SHARD_ITEMS, SHARD_WORDS = 20_000, 2_000_000
 
 #: Up to so many places (terms times blocks) the block-maxima lie in a full table too, which is quicker to sum.
