@@ -45,6 +45,8 @@ OVERLAP = 3
 #: Queries of the audit at most; recall that ends the widening, how often it may double, and what must be reached.
 AUDIT, RECALL, WIDENINGS, LEAST_RECALL = 256, 0.97, 3, 0.9
 DEGREE, LONG_DEGREE, CANDIDATES, ALPHA, LIST = 20, 6, 48, 1.2, 32
+#: Rows of a search's list that are opened at once.
+BEAM = 4
 #: Rows of a shard from which the longer edges are chosen.
 PART = 200
 BACK = 4
@@ -171,9 +173,19 @@ def _pruned(x: np.ndarray, among: np.ndarray, degree: int, candidates: int) -> n
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) pairs in range: greedy from the nearest medoids, then expanding what lies in range."""
+def lists_of(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacency lists of n rows from edges (a, b): where each row's list starts, and all lists behind each other."""
+    order = np.argsort(a, kind="stable")
+    return np.append(0, np.cumsum(np.bincount(a, minlength=n))), b[order]
+
+
+def search(x: np.ndarray, graph: tuple[np.ndarray, np.ndarray], entry: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs in range: greedy from the nearest medoids, then expanding what lies in range.
+
+    Lists are followed as they are, without filling up, so a row that many lead to costs only its own length.
+    """
     n, q = len(x), len(queries)
+    start, to = graph
     near = queries @ x[entry].T
     take = min(LIST // 4, len(entry))
     best = np.argsort(-near, axis=1, kind="stable")[:, :take]
@@ -183,27 +195,41 @@ def search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndar
     seen, hit = np.zeros((q, n), bool), np.zeros((q, n), bool)
     seen[:, entry] = True
     hit[:, entry] = near >= cosine
-    active = np.arange(q)
-    while len(active):
-        open_ = np.where(done[active] | (ids[active] < 0), -np.inf, sims[active])
-        k = open_.argmax(1)
-        go = open_[np.arange(len(active)), k] > -np.inf
-        active, k = active[go], k[go]
-        if not len(active):
+
+    def reach(who: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What queries newly see in the lists of rows, sorted by query, and how near it is."""
+        size = start[row + 1] - start[row]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[row] - ends + size, size)
+        cell = np.repeat(who, size) * n + to[at]
+        cell = np.unique(cell[~seen.ravel()[cell]])
+        seen.ravel()[cell] = True
+        w, r = cell // n, cell % n
+        s = np.concatenate([np.einsum("nd,nd->n", queries[w[lo : lo + 8192]], x[r[lo : lo + 8192]]) for lo in range(0, len(cell), 8192)]) if len(cell) else np.zeros(0)
+        hit.ravel()[cell[s >= cosine]] = True
+        return w, r, s
+
+    while True:
+        # the nearest unopened rows of every query's list, which is in order
+        go = ~done & (ids >= 0)
+        go &= np.cumsum(go, 1) <= BEAM
+        who, at = np.nonzero(go)
+        if not len(who):
             break
-        done[active, k] = True
-        near = graph[ids[active, k]]
-        fresh = (near >= 0) & ~seen[active[:, None], near]
-        s = np.where(fresh, np.einsum("qd,qrd->qr", queries[active], x[near], optimize=True), -np.inf)
-        r, c = np.nonzero(fresh)
-        seen[active[r], near[r, c]] = True
-        inside = s[r, c] >= cosine
-        hit[active[r[inside]], near[r[inside], c[inside]]] = True
-        all_ids, all_sims = np.concatenate([ids[active], near], 1), np.concatenate([sims[active], s], 1)
-        all_done = np.concatenate([done[active], np.zeros(near.shape, bool)], 1)
+        done[who, at] = True
+        w, r, s = reach(who, ids[who, at])
+        better = s > sims[w, -1]
+        w, r, s = w[better], r[better], s[better]
+        some, first, count = np.unique(w, return_index=True, return_counts=True)
+        if not len(some):
+            continue
+        more = (np.repeat(np.arange(len(some)), count), np.arange(len(w)) - np.repeat(first, count) + wide)
+        all_ids = np.concatenate([ids[some], np.full((len(some), count.max()), -1)], 1)
+        all_sims = np.concatenate([sims[some], np.full((len(some), count.max()), -np.inf)], 1)
+        all_done = np.concatenate([done[some], np.zeros((len(some), count.max()), bool)], 1)
+        all_ids[more], all_sims[more] = r, s
         order = np.argsort(-all_sims, axis=1, kind="stable")[:, :wide]
-        ids[active], sims[active] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
-        done[active] = np.take_along_axis(all_done, order, 1)
+        ids[some], sims[some], done[some] = (np.take_along_axis(v, order, 1) for v in (all_ids, all_sims, all_done))
     # range expansion: every row in range gives its neighbours, until none is new
     opened = np.zeros((q, n), bool)
     while True:
@@ -211,15 +237,8 @@ def search(x: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndar
         if not len(qs):
             break
         opened[qs, rows] = True
-        for a in range(0, len(qs), 8192):
-            near = graph[rows[a : a + 8192]]
-            r, c = np.nonzero(near >= 0)
-            who, what = qs[a : a + 8192][r], near[r, c]
-            fresh = ~seen[who, what]
-            who, what = who[fresh], what[fresh]
-            seen[who, what] = True
-            ok = np.einsum("nd,nd->n", queries[who], x[what]) >= cosine
-            hit[who[ok], what[ok]] = True
+        for lo in range(0, len(qs), 8192):
+            reach(qs[lo : lo + 8192], rows[lo : lo + 8192])
     return np.nonzero(hit)
 
 
@@ -389,13 +408,13 @@ def linked(rows: DataFrame, model: dict, cosine: float, overlap: int) -> tuple[D
         own, other = np.flatnonzero(stored), np.flatnonzero(~stored)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if len(own):
-            near = [v or [] for v in t.column("near").take(pa.array(own)).to_pylist()]
-            graph = np.full((len(own), max(1, *map(len, near))), -1, np.int64)
-            for k, v in enumerate(near):
-                if v:
-                    at = np.minimum(np.searchsorted(key[own], v), len(own) - 1)
-                    at = at[key[own][at] == v]  # neighbours in other shards are searched there
-                    graph[k, : len(at)] = at
+            near = t.column("near").take(pa.array(own)).combine_chunks()
+            near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+            from_ = np.repeat(np.arange(len(own)), near.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            near = near.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(key[own], near), len(own) - 1)
+            here = key[own][at] == near  # neighbours in other shards are searched there
+            graph = lists_of(len(own), from_[here], at[here])
             entry = medoids(x[own])
             for lo in range(0, len(own), 256):
                 q, found = search(x[own], graph, entry, x[own[lo : lo + 256]], cosine)
