@@ -1,4 +1,4 @@
-"""DML and DDL on stored tables: each statement writes a table's next version."""
+"""DML and DDL on stored tables. INSERT writes its rows only, the others a table's rows anew."""
 
 from __future__ import annotations
 
@@ -105,7 +105,7 @@ class Changes:
             rows = [r if isinstance(r, (list, tuple)) else [r] for r in rows]
             data = [tuple(list(r)[: len(schema)] + [None] * (len(schema) - len(r))) for r in rows]
             data = [tuple(plain(v, f.dataType) for v, f in zip(r, schema)) for r in data]
-            return self.store.append(stmt.table, self.store.spark.createDataFrame(data, T.StructType([T.StructField(f.name, f.dataType) for f in schema])))
+            return self.store.append(stmt.table, self.store.spark.createDataFrame(data, T.StructType([T.StructField(f.name, f.dataType) for f in schema])), few=True)
         columns = stmt.columns or [f.name for f in schema]
         if len(columns) != len(stmt.values):
             raise DialectError("columns and values differ in number", 1221)
@@ -119,7 +119,7 @@ class Changes:
             if f is None:
                 raise DialectError(f"column {name} is not found", 1806)
             cols.append(self.cast(comp.value(node), f.dataType).alias(f.name))
-        return self.store.append(stmt.table, self.store.spark.range(1).select(*cols))
+        return self.store.append(stmt.table, self.store.spark.range(1).select(*cols), few=True)
 
     def update(self, stmt: S.Update) -> int:
         df = self.store.frame(stmt.table)
@@ -173,7 +173,7 @@ class Changes:
     def zap(self, table: str) -> int:
         df = self.store.frame(table)
         n = df.count()
-        self.store.put(table, df.where(F.lit(False)))
+        self.store.clear(table)
         return n
 
     def into_table(self, name: str, df: DataFrame) -> int:

@@ -1,14 +1,19 @@
-"""Tables as versioned Parquet directories with hidden record numbers and deletion marks.
-
-A table is a folder `name/v=K`; the file `_current` names the version in force. Changing a table writes
-the next version and then the pointer, so readers see one version or the other. Rows keep `__recno`
-(from 1, in the order they were added) and `__deleted`.
+"""Tables as Parquet parts with hidden record numbers and deletion marks, under one log of versions.
+
+The file `_log/N.json` with the highest N lists every table's schema and parts. A change writes its parts
+first and then the next file of the log, which is never overwritten: readers see all of a change or none
+of it, over however many tables it goes, and of two writers of one number the second sees that it must look
+again. Appending writes the new rows only; other changes write a table's rows anew. Parts that no version
+in force names are removed by `vacuum`. Rows keep `__recno` (from 1, in the order they were added) and
+`__deleted`.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,10 @@ from dunlin.settings import DialectError
 
 RECNO, DELETED = "__recno", "__deleted"
 HIDDEN = (RECNO, DELETED)
+#: Parts of a table from which an append writes them together.
+MOST_PARTS = 256
+#: How often a change is tried while others keep taking the next number.
+TRIES = 100
 
 
 class Files:
@@ -39,10 +48,6 @@ class Files:
         fs, p = self._fs(path)
         fs.delete(p, True)
 
-    def rename(self, a: str, b: str) -> None:
-        fs, p = self._fs(a)
-        fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(b))
-
     def names(self, path: str) -> list[str]:
         fs, p = self._fs(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -55,15 +60,22 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, path: str, text: str) -> None:
-        """Whole and at once: to a side file, then renamed."""
-        fs, p = self._fs(path + ".new")
-        out = fs.create(p, True)
+    def claim(self, path: str, text: str) -> bool:
+        """Writes a new file whole and at once, to a side file that is then renamed; False if there is one."""
+        fs, p = self._fs(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(p, False)
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        if fs.exists(self.jvm.org.apache.hadoop.fs.Path(path)):
-            fs.delete(self.jvm.org.apache.hadoop.fs.Path(path), False)
-        fs.rename(p, self.jvm.org.apache.hadoop.fs.Path(path))
+        target = self.jvm.org.apache.hadoop.fs.Path(path)
+        if not fs.exists(target) and fs.rename(p, target):
+            return True
+        fs.delete(p, False)
+        return False
+
+    def age(self, path: str) -> float:
+        """Seconds since a folder was last changed."""
+        fs, p = self._fs(path)
+        return time.time() - fs.getFileStatus(p).getModificationTime() / 1000
 
 
 def numbered(df: DataFrame, start: int = 0) -> DataFrame:
@@ -93,86 +105,159 @@ def _shifted(place: DataFrame, start: int) -> DataFrame:
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
-        self.pending: dict[str, tuple[int, DataFrame]] | None = None
+        self.base: dict[str, dict] | None = None  # the tables as a transaction found them
+        self.pending: dict[str, dict | None] = {}  # and what it has changed
 
-    def path(self, name: str) -> str:
+    def key(self, name: str) -> str:
         if not re.fullmatch(r"\w+", name):
             raise DialectError(f"bad table name {name!r}", 10)
-        return f"{self.root}/{name.lower()}"
+        return name.lower()
+
+    # -- versions
+
+    def head(self) -> tuple[int, dict[str, dict]]:
+        """The number in force, and its tables."""
+        found = [int(n[:-5]) for n in self.files.names(f"{self.root}/_log") if n.endswith(".json") and not n.startswith(".")]
+        if not found:
+            return 0, {}
+        return max(found), json.loads(self.files.read(f"{self.root}/_log/{max(found):012d}.json"))
+
+    def now(self) -> dict[str, dict]:
+        """The tables as this session sees them."""
+        if self.base is None:
+            return self.head()[1]
+        return {k: v for k, v in {**self.base, **self.pending}.items() if v is not None}
+
+    def publish(self, changed: dict[str, dict | None], base: dict[str, dict] | None = None) -> None:
+        """Puts tables in force (None: dropped) in one step; with a base, only if none has moved on from it."""
+        for _ in range(TRIES):
+            n, tables = self.head()
+            for name in changed if base is not None else ():
+                if tables.get(name) != base.get(name):
+                    raise DialectError(f"table {name} has been changed", 1585)
+            after = {k: v for k, v in {**tables, **changed}.items() if v is not None}
+            if self.files.claim(f"{self.root}/_log/{n + 1:012d}.json", json.dumps(after)):
+                return
+        raise DialectError("the store is changed too often", 1585)
+
+    def settle(self, name: str, table: dict | None, base: dict | None = None) -> None:
+        if self.base is not None:
+            self.pending[name] = table
+        else:
+            self.publish({name: table}, None if base is None else {name: base})
+
+    def part(self, name: str, df: DataFrame) -> str:
+        path = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{path}")
+        return path
+
+    # -- tables
 
     def exists(self, name: str) -> bool:
-        return self.pending is not None and name.lower() in self.pending or self.files.exists(f"{self.path(name)}/_current")
+        return self.key(name) in self.now()
 
     def tables(self) -> list[str]:
-        return [n for n in self.files.names(self.root) if self.files.exists(f"{self.root}/{n}/_current")]
+        return sorted(self.now())
+
+    def table(self, name: str) -> dict:
+        found = self.now().get(self.key(name))
+        if found is None:
+            raise DialectError(f"table {name} does not exist", 1)
+        return found
 
-    def version(self, name: str) -> int:
-        return int(json.loads(self.files.read(f"{self.path(name)}/_current"))["version"])
+    def read(self, table: dict) -> DataFrame:
+        schema = T.StructType.fromJson(table["schema"])
+        if not table["parts"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in table["parts"]))
 
     def frame(self, name: str) -> DataFrame:
         """All rows with their hidden columns."""
-        if self.pending is not None and name.lower() in self.pending:
-            return self.pending[name.lower()][1]
-        if not self.exists(name):
-            raise DialectError(f"table {name} does not exist", 1)
-        meta = json.loads(self.files.read(f"{self.path(name)}/_current"))
-        schema = T.StructType.fromJson(meta["schema"])
-        return self.spark.read.schema(schema).parquet(f"{self.path(name)}/v={meta['version']}")
+        return self.read(self.table(name))
 
     def schema(self, name: str) -> T.StructType:
-        return T.StructType([f for f in self.frame(name).schema if f.name not in HIDDEN])
+        return T.StructType([f for f in T.StructType.fromJson(self.table(name)["schema"]) if f.name not in HIDDEN])
 
     def put(self, name: str, df: DataFrame) -> None:
-        """The next version of a table; df has the hidden columns."""
-        v = self.version(name) if self.files.exists(f"{self.path(name)}/_current") else 0
-        target = f"{self.path(name)}/v={v + 1}"
-        if self.pending is not None:
-            base = self.pending[name.lower()][0] if name.lower() in self.pending else v
-            side = f"{self.path(name)}/tx={v + 1}-{id(df)}"
-            df.write.parquet(side)
-            self.pending[name.lower()] = (base, self.spark.read.schema(df.schema).parquet(side))
-            return
-        df.write.mode("overwrite").parquet(target)
-        self.files.write(f"{self.path(name)}/_current", json.dumps({"version": v + 1, "schema": df.schema.jsonValue()}))
+        """A table's rows anew; df has the hidden columns."""
+        low = self.key(name)
+        self.settle(low, {"schema": df.schema.jsonValue(), "parts": [self.part(low, df)]})
+
+    def clear(self, name: str) -> None:
+        self.settle(self.key(name), {"schema": self.table(name)["schema"], "parts": []})
 
     def create(self, name: str, df: DataFrame) -> None:
         """A table of the rows of df, in its order."""
         out = numbered(df).withColumn(DELETED, F.lit(False))
         self.put(name, out.select(*df.columns, RECNO, DELETED))
 
-    def append(self, name: str, df: DataFrame) -> int:
-        """Adds rows with matching columns; missing ones are NULL. Only the new rows are computed, not the old ones."""
-        old = self.frame(name)
+    def append(self, name: str, df: DataFrame, few: bool = False) -> int:
+        """Adds rows with matching columns; missing ones are NULL. Only the new rows are read and written.
+
+        few: the rows came from the driver, so one task may number and write them.
+        """
+        table, low = self.table(name), self.key(name)
+        old = self.read(table)
         fields = [f for f in old.schema if f.name not in HIDDEN]
         have = {c.lower(): c for c in df.columns}
         cols: list[Column] = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
-        last = old.agg(F.max(RECNO)).first()[0] or 0
-        new = numbered(df.select(*cols), last).withColumn(DELETED, F.lit(False)).select(old.columns)
-        n = new.count()
-        self.put(name, old.unionByName(new))
+        last = table["last"] if "last" in table else old.agg(F.max(RECNO)).first()[0] or 0
+        if few:
+            new = df.select(*cols).coalesce(1).withColumn(RECNO, F.monotonically_increasing_id() + last + 1)
+        else:
+            new = numbered(df.select(*cols), last)
+        new = new.withColumn(DELETED, F.lit(False)).select(old.columns)
+        path = self.part(low, new)
+        n = self.spark.read.schema(old.schema).parquet(f"{self.root}/{path}").count()
+        after = {**table, "parts": [*table["parts"], path], "last": last + n}
+        if len(after["parts"]) > MOST_PARTS:
+            after["parts"] = [self.part(low, self.read(after))]
+        self.settle(low, after, table)
         return n
 
     def drop(self, name: str) -> None:
-        self.files.delete(self.path(name))
+        self.settle(self.key(name), None)
+
+    def vacuum(self, seconds: float = 7 * 24 * 3600) -> int:
+        """Removes parts that the version in force does not name and that are older than this; their number.
+
+        The age keeps what a running change has written, and what a running query still reads.
+        """
+        number, tables = self.head()
+        named = {p for t in tables.values() for p in t["parts"]}
+        gone = 0
+        for low in self.files.names(self.root):
+            for p in () if low == "_log" else self.files.names(f"{self.root}/{low}"):
+                if f"{low}/{p}" not in named and self.files.age(f"{self.root}/{low}/{p}") >= seconds:
+                    self.files.delete(f"{self.root}/{low}/{p}")
+                    gone += 1
+        for n in self.files.names(f"{self.root}/_log"):
+            if n.endswith(".json") and int(n[:-5]) < number and self.files.age(f"{self.root}/_log/{n}") >= seconds:
+                self.files.delete(f"{self.root}/_log/{n}")
+        return gone
 
     # -- transactions
 
     def begin(self) -> None:
-        if self.pending is not None:
+        if self.base is not None:
             raise DialectError("a transaction is open", 1590)
-        self.pending = {}
+        self.base, self.pending = self.head()[1], {}
 
     def commit(self) -> None:
-        """Puts all changed tables in force; fails if one was changed by someone else meanwhile."""
-        pending, self.pending = self.pending, None
-        if pending is None:
+        """Puts all changed tables in force together; fails if one was changed by someone else meanwhile."""
+        if self.base is None:
             raise DialectError("no transaction is open", 1591)
-        for name, (base, _) in pending.items():
-            now = self.version(name) if self.files.exists(f"{self.path(name)}/_current") else 0
-            if now != base:
-                raise DialectError(f"table {name} has been changed", 1585)
-        for name, (_, df) in pending.items():
-            self.put(name, df)
+        base, pending = self.base, self.pending
+        self.base, self.pending = None, {}
+        if pending:
+            self.publish(pending, base)
 
     def rollback(self) -> None:
-        self.pending = None
+        """Drops what the transaction has written."""
+        base, pending = self.base or {}, self.pending
+        self.base, self.pending = None, {}
+        for name, table in pending.items():
+            kept = set(base.get(name, {"parts": []})["parts"])
+            for p in (table or {"parts": []})["parts"]:
+                if p not in kept:
+                    self.files.delete(f"{self.root}/{p}")
