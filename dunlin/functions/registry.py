@@ -238,8 +238,26 @@ def _words(a: list[Val], at: int) -> Column:
     return F.filter(F.split(text(a[0]), "[" + re.escape(marks).replace("]", "\\]") + "]"), lambda x: x != "")
 
 
-named("SOUNDEX")(lambda c, a: C(U.apply(U.soundex, "string", text(a[0]))))
-named("DIFFERENCE")(lambda c, a: Val(U.apply(U.difference, "int", text(a[0]), text(a[1])), "I"))
+def soundex(s: Column) -> Column:
+    """First letter and the next letters' sound groups, a run of one group once; see text_udfs.soundex."""
+    up = F.upper(F.trim(s, F.lit(" \t\r\n")))
+    groups = F.translate(F.regexp_replace(up, "[^A-Z]", "0"), "".join(U.SOUND) + "AEHIOUWY", "".join(U.SOUND.values()) + "0" * 8)
+    later = F.replace(F.substring(F.regexp_replace(groups, r"([1-6])\1+", "$1"), 2, 1 << 30), F.lit("0"), F.lit(""))
+    return F.rpad(F.concat(F.substring(up, 1, 1), later), 4, "0")
+
+
+@named("SOUNDEX")
+def soundex_(c, a):
+    return C(soundex(text(a[0])))
+
+
+@named("DIFFERENCE")
+def difference(c, a):
+    x, y = soundex(text(a[0])), soundex(text(a[1]))
+    same = [(F.substring(x, k, 1) == F.substring(y, k, 1)).cast("int") for k in range(1, 5)]
+    return Val(sum(same[1:], same[0]), "I")
+
+
 named("NORMALIZE")(lambda c, a: C(U.apply(U.normalize, "string", text(a[0]))))
 
 
@@ -252,8 +270,23 @@ def transform(c, a):
 
 @named("STREXTRACT")
 def strextract(c, a):
-    rest = [v.lit for v in a[1:]]
-    return C(U.apply(lambda s: U.strextract(s, *rest), "string", text(a[0])))
+    begin, end, occurrence, flags = ([v.lit for v in a[1:]] + ["", "", 1, 0][len(a) - 1 :])[:4]
+    s = text(a[0])
+    if begin is None:
+        return null("C")
+    if int(flags) & 1:  # case folding may change lengths
+        return C(U.apply(lambda x: U.strextract(x, begin, end, int(occurrence), int(flags)), "string", s))
+    if begin:
+        at = F.position(F.lit(begin), s)
+        for _ in range(1, int(occurrence)):
+            at = F.when(at > 0, F.position(F.lit(begin), s, at + 1)).otherwise(0)
+        rest = F.when(at > 0, F.substring(s, at + len(begin), F.length(s)))
+    else:
+        rest = s
+    if end:
+        stop = F.position(F.lit(end), rest)
+        rest = F.when(stop > 0, F.substring(rest, F.lit(1), stop - 1)).when(F.lit(bool(int(flags) & 2)), rest)
+    return C(guarded(F.coalesce(rest, F.lit("")), a[0]))
 
 
 named("STRCONV", "CPCONVERT")(lambda c, a: C(U.apply(lambda s, how=int(a[-1].lit if a[-1].kind != "C" else a[0].lit): U.strconv(s, how), "string", text(next(v for v in a if v.kind == "C")))))

@@ -89,6 +89,12 @@ statement(
 statement("join_self", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a INNER JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 statement("join_theta", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s INNER JOIN nation n ON s.s_nationkey > n.n_nationkey + 20", "SELECT s.s_suppkey, n.n_nationkey FROM supplier s JOIN nation n ON s.s_nationkey > n.n_nationkey + 20")
 statement("join_prefix_string", "SELECT n.n_nationkey, r.r_regionkey FROM nation n INNER JOIN region r ON LEFT(n.n_name, 1) = r.r_name", "SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON starts_with(r.r_name, left(n.n_name, 1))")
+statement("join_prefix_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a INNER JOIN nation b ON a.n_name = b.n_name", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON starts_with(a.n_name, b.n_name) OR starts_with(b.n_name, a.n_name)")
+statement(
+    "join_prefix_made",
+    "SELECT c.c_custkey, n.n_nationkey FROM customer c INNER JOIN nation n ON c.c_name = 'Customer#00000' + LEFT(STRZERO(n.n_nationkey, 4), 3) AND c.c_acctbal > 0",
+    "SELECT c_custkey, n_nationkey FROM customer JOIN nation ON starts_with(c_name, 'Customer#00000' || left(lpad(n_nationkey::VARCHAR, 4, '0'), 3)) AND c_acctbal > 0",
+)
 # -- subqueries
 statement("semi_in", "SELECT c.c_custkey FROM customer c WHERE c.c_custkey IN (SELECT o.o_custkey FROM orders o WHERE o.o_totalprice > 200000)", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 statement("anti_not_in", "SELECT c.c_custkey FROM customer c WHERE c.c_custkey NOT IN (SELECT o.o_custkey FROM orders o)", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
@@ -139,7 +145,19 @@ statement("fn_stuff_chrtran_strtran", "SELECT n_nationkey, STUFF(n_name, 2, 1, '
 statement("fn_str_val", "SELECT n_nationkey, STR(n_nationkey, 4) AS s, VAL(STR(n_nationkey, 4)) AS v, STRZERO(n_nationkey, 3) AS z FROM nation", "SELECT n_nationkey, lpad(n_nationkey::VARCHAR, 4, ' ') AS s, n_nationkey::DOUBLE AS v, lpad(n_nationkey::VARCHAR, 3, '0') AS z FROM nation")
 statement("fn_proper_words", "SELECT n_nationkey, PROPER(n_name) AS p, GETWORDCOUNT(n_name) AS n, GETWORDNUM(n_name, 2) AS w FROM nation", "SELECT n_nationkey, list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(left(x, 1)) || lower(substr(x, 2))), 'string_agg', ' ') AS p, len(list_filter(string_split(n_name, ' '), lambda x: x <> ''))::INTEGER AS n, coalesce(list_filter(string_split(n_name, ' '), lambda x: x <> '')[2], '') AS w FROM nation")
 statement("fn_strextract", "SELECT event_id, STREXTRACT(props, ':', ',') AS v FROM events", "SELECT event_id, CASE WHEN strpos(props, ':') > 0 AND strpos(substr(props, strpos(props, ':') + 1), ',') > 0 THEN split_part(substr(props, strpos(props, ':') + 1), ',', 1) ELSE '' END AS v FROM events")
-statement("fn_soundex", "SELECT n_nationkey, SOUNDEX(n_name) AS s, DIFFERENCE(n_name, 'CHINA') AS d FROM nation", "")
+_GROUPS = "translate(regexp_replace(upper(trim(n_name)), '[^A-Z]', '0', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202')"
+for _d in "123456":
+    _GROUPS = f"regexp_replace({_GROUPS}, '{_d}+', '{_d}', 'g')"
+statement(
+    "fn_soundex",
+    "SELECT n_nationkey, SOUNDEX(n_name) AS s, DIFFERENCE(n_name, 'CHINA') AS d FROM nation",
+    f"SELECT n_nationkey, s, (s[1] = 'C')::INTEGER + (s[2] = '5')::INTEGER + (s[3] = '0')::INTEGER + (s[4] = '0')::INTEGER AS d FROM (SELECT n_nationkey, rpad(left(upper(trim(n_name)), 1) || replace({_GROUPS}[2:], '0', ''), 4, '0') AS s FROM nation)",
+)
+statement(
+    "fn_strextract_more",
+    "SELECT event_id, STREXTRACT(props, '\"', '\"', 3) AS third, STREXTRACT(props, ':', '~', 1, 2) AS rest, STREXTRACT(props, '', ':') AS head FROM events",
+    "SELECT event_id, CASE WHEN len(string_split(props, '\"')) > 4 THEN string_split(props, '\"')[4] ELSE '' END AS third, CASE WHEN strpos(props, ':') > 0 THEN substr(props, strpos(props, ':') + 1) ELSE '' END AS rest, CASE WHEN strpos(props, ':') > 0 THEN split_part(props, ':', 1) ELSE '' END AS head FROM events",
+)
 statement("fn_transform", "SELECT o_orderkey, TRANSFORM(o_totalprice, '9,999,999.99') AS t FROM orders", "SELECT o_orderkey, lpad(format('{:,.2f}', o_totalprice), 12, ' ') AS t FROM orders")
 statement("fn_date_parts", "SELECT o_orderkey, YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, DAY(o_orderdate) AS d, DOW(o_orderdate) AS w, CDOW(o_orderdate) AS n, CMONTH(o_orderdate) AS c FROM orders", "SELECT o_orderkey, year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, day(o_orderdate)::INTEGER AS d, (dayofweek(o_orderdate) + 1)::INTEGER AS w, dayname(o_orderdate) AS n, monthname(o_orderdate) AS c FROM orders")
 statement("fn_date_arith", "SELECT o_orderkey, TTOD(o_orderdate) + 30 AS p, TTOD(o_orderdate) - {^1995-01-01} AS n, o_orderdate + 90 AS t FROM orders", "SELECT o_orderkey, o_orderdate::DATE + 30 AS p, (o_orderdate::DATE - DATE '1995-01-01')::DOUBLE AS n, o_orderdate + INTERVAL 90 SECOND AS t FROM orders")

@@ -169,12 +169,36 @@ class Planner:
             df = df.crossJoin(self.source(src, scope))
         for j in q.joins:
             right = self.source(j.source, scope)
-            cond = Compiler(scope.resolve, self.settings, self.known(scope)).condition(j.on)
-            df = df.join(right, cond, {"full": "full_outer"}.get(j.kind, j.kind))
+            comp = Compiler(scope.resolve, self.settings, self.known(scope))
+            cond, pair = comp.condition(j.on), self.prefixes(j, df, right, scope, comp)
+            df = prefix_join(df, right, *pair).where(cond) if pair else df.join(right, cond, {"full": "full_outer"}.get(j.kind, j.kind))
         for part in conjuncts(q.where):
             df = df.where(self.member(part, scope) if isinstance(part, S.In) else self.compiler(scope).condition(part))
         return df
 
+    def prefixes(self, j: S.Join, df: DataFrame, right: DataFrame, scope: Scope, comp: Compiler) -> tuple[Column, Column] | None:
+        """The two sides of a prefix equality that an inner join has for its only key; None if another part can be hashed."""
+
+        def side(node: Node) -> DataFrame | None:
+            found = [scope.find(n) for n in walk(node) if isinstance(n, Name)]
+            if not found or None in found or not all(isinstance(n, (Name, Lit, Call, Unary, Binary)) for n in walk(node)):
+                return None
+            return next((d for d in (df, right) if all(c in d.columns for c, _ in found)), None)
+
+        pair = None
+        for part in conjuncts(j.on):
+            if not isinstance(part, Binary) or part.op not in ("=", "=="):
+                continue
+            sides = side(part.left), side(part.right)
+            if None in sides or sides[0] is sides[1]:
+                continue
+            x, y = comp.value(part.left), comp.value(part.right)
+            if part.op == "==" or x.kind != "C" or y.kind != "C" or self.settings.ansi or not self.settings.sql:
+                return None
+            x, y = (compare.general_head(v.col) if self.settings.collate == "GENERAL" else v.col for v in (x, y))
+            pair = pair or ((x, y) if sides[0] is df else (y, x))
+        return pair if j.kind == "inner" else None
+
     def member(self, node: S.In, scope: Scope) -> Column:
         """IN as a condition of its own: unknown counts as false, which makes it a plain semi or anti join."""
         found = self.subqueries(scope, sure=True)(node)
@@ -247,7 +271,8 @@ class Planner:
             keys.append((compare.sort_key(v, self.settings), o.desc))
         if not keys and q.top is None and not q.distinct:
             return df.select(*cols)
-        needs_scan = (q.top is not None and (not keys or q.percent)) or False
+        # equal keys keep scan order, and TOP without keys takes it
+        needs_scan = not q.distinct and scope.outer is None or q.top is not None and (not keys or q.percent)
         if needs_scan:
             df, place = self.with_order(df)
             cols_extra = [place.alias("__place")]
@@ -274,10 +299,10 @@ class Planner:
             grouped = out.groupBy(*(g.alias(p) for g, p in zip(group, plain_names))).agg(*(F.first(f"`{n}`").alias(f"__o{i}") for i, n in enumerate(names)), *best, *more)
             out = grouped.select(*(F.col(f"__o{i}").alias(n) for i, n in enumerate(names)), *keys, *(["__place"] if scan else []))
         order = [F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_first() for k, d in zip(keys, desc)]
+        tie = [F.col("__place")] if scan else []
         if q.top is None:
-            return out.orderBy(*order).select(*(f"`{n}`" for n in names)) if order else out.select(*(f"`{n}`" for n in names))
+            return out.orderBy(*order, *tie).select(*(f"`{n}`" for n in names)) if order else out.select(*(f"`{n}`" for n in names))
         n = int(q.top) if not q.percent else None
-        tie = [F.col("__place")] if scan else []
         if q.percent:
             n = 0 if q.top <= 0 else math.ceil(min(q.top, 100) / 100 * out.count())
             return out.orderBy(*order, *tie).limit(n).select(*(f"`{x}`" for x in names))
@@ -291,7 +316,7 @@ class Planner:
         for k in keys:
             c = F.col(k).eqNullSafe(F.col(f"{k}_t"))
             cond = c if cond is None else cond & c
-        return out.join(first, cond, "left_semi").orderBy(*order).select(*(f"`{x}`" for x in names))
+        return out.join(first, cond, "left_semi").orderBy(*order, *tie).select(*(f"`{x}`" for x in names))
 
     def general(self, df: DataFrame, name: str) -> Column:
         c = F.col(f"`{name}`")
@@ -423,6 +448,23 @@ def outer_of(col: Column, scope: Scope, node: Node, planner: Planner, special) -
     return Compiler(resolve, planner.settings, planner.functions, special).value(node).col
 
 
+def prefix_join(left: DataFrame, right: DataFrame, x: Column, y: Column) -> DataFrame:
+    """Rows of which one text begins with the other, by hash: each side's beginnings meet the other side's whole texts.
+
+    A pair is found in one of the two joins only, as equal texts count in the first. A row is dealt once for
+    each of its beginnings, so the cost is the texts' length and not the product of the sides.
+    """
+
+    def beginnings(df: DataFrame, text: Column, least: int) -> DataFrame:
+        most = F.length("__text") - least
+        every = F.when(most >= 0, F.transform(F.sequence(F.lit(0), F.greatest(most, F.lit(0))), lambda k: F.substring(F.col("__text"), F.lit(1), k)))
+        return df.withColumn("__text", text).withColumn("__key", F.explode(every)).drop("__text")
+
+    a = left.withColumn("__whole", x).join(beginnings(right, y, 0), F.col("__whole") == F.col("__key"))
+    b = beginnings(left, x, 1).join(right.withColumn("__whole", y), F.col("__whole") == F.col("__key"))
+    return a.drop("__whole", "__key").unionByName(b.drop("__whole", "__key"))
+
+
 def conjuncts(node: Node | None) -> list[Node]:
     """The parts of a condition that must all hold."""
     if node is None:

@@ -206,3 +206,42 @@ def test_plan_reaches_the_files(s):
     df = s.query("SELECT id FROM person WHERE amount > 100 AND city == 'Berlin'")
     e = explain(df)
     assert any("city" in p for p in e["pushed"]) and all("name" not in c for c in e["columns"])
+
+
+def test_prefix_join_goes_by_hash(spark):
+    s = Session(spark)
+    texts = ["", "a", "ab", "abc", "abd", "b", "ba", None, "ÄB", "äbc", "ab"]
+    s.register("l", spark.createDataFrame(list(enumerate(texts)), "i int, x string"))
+    s.register("r", spark.createDataFrame([(k * 10, v) for k, v in enumerate(reversed(texts))], "j int, y string"))
+    for collate, fold in (("MACHINE", lambda v: v), ("GENERAL", lambda v: v.upper().replace("Ä", "A"))):
+        s.settings.collate = collate
+        got = s.query("SELECT l.i, r.j FROM l INNER JOIN r ON l.x = r.y AND r.j <> 20")
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+        pairs = [(i, fold(a), j * 10, fold(b)) for i, a in enumerate(texts) for j, b in enumerate(reversed(texts)) if a is not None and b is not None]
+        assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, a, j, b in pairs if (a.startswith(b) or b.startswith(a)) and j != 20)
+    s.settings.collate = "MACHINE"
+    both = s.query("SELECT l.i, r.j FROM l INNER JOIN r ON l.x = r.y AND l.i == r.j")
+    assert sorted(map(tuple, both.collect())) == [(0, 0)]
+
+
+def test_equal_order_keys_keep_record_order(s):
+    s.store.create("many", s.spark.range(2000).selectExpr("id", "id % 3 AS k").orderBy("id"))
+    want = sorted(range(2000), key=lambda i: i % 3)
+    assert [r.id for r in s.query("SELECT id, k FROM many ORDER BY k").collect()] == want
+    assert [r.id for r in s.query("SELECT TOP 2 id, k FROM many ORDER BY k").collect()] == want[:667]
+
+
+def test_text_functions_equal_their_plain_forms(spark):
+    import random
+
+    from dunlin.functions import text_udfs as U
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ABCHWSTZLMNRaeiéß1 '-<>") for _ in range(rng.randrange(12))) for _ in range(400)] + [None, "", "  ", "\tPfister ", "İx"]
+    s = Session(spark)
+    s.register("t", spark.createDataFrame([(k, v) for k, v in enumerate(texts)], "i int, v string"))
+    rows = s.query("SELECT i, v, SOUNDEX(v) AS s, DIFFERENCE(v, 'Tymczak') AS d, STREXTRACT(v, '<', '>') AS a, STREXTRACT(v, 'a', 'e', 2) AS b, STREXTRACT(v, 'A', '>', 1, 2) AS c, STREXTRACT(v, '', '-') AS e, STREXTRACT(v, 'A', 'E', 1, 1) AS f, STREXTRACT(v, '<') AS g FROM t").collect()
+    for r in rows:
+        v = r.v
+        want = (U.soundex(v), U.difference(v, "Tymczak"), U.strextract(v, "<", ">"), U.strextract(v, "a", "e", 2), U.strextract(v, "A", ">", 1, 2), U.strextract(v, "", "-"), U.strextract(v, "A", "E", 1, 1), U.strextract(v, "<"))
+        assert tuple(r)[2:] == want, v
