@@ -167,7 +167,7 @@ class Changes:
         n = df.where(F.col(DELETED)).count()
         visible = [c for c in df.columns if c not in HIDDEN]
         kept = df.where(~F.col(DELETED)).repartitionByRange(RECNO).sortWithinPartitions(RECNO).select(*visible)
-        self.store.create(table, kept)
+        self.store.create(table, kept, keep=True)
         return n
 
     def zap(self, table: str) -> int:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dunlin.operators.scripting import Interpreter
 from dunlin.plans.compile import count, query
 from dunlin.session import Session
-from dunlin.settings import Settings
+from dunlin.settings import DialectError, Settings
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -151,7 +152,44 @@ def zap_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.query("SELECT COUNT(*) AS n FROM t")
 
 
+def _geography(spark: SparkSession, sf_dir: str, **modes: str) -> Session:
+    """Regions and nations as stored tables, linked by region."""
+    s = _session(spark, sf_dir)
+    s.store.create("r", s.views["region"])
+    s.store.create("t", s.views["nation"])
+    s.set_rules("t", defaults={"n_name": "'UNNAMED'"}, fields={"n_nationkey": "n_nationkey < 1000"}, required=["n_nationkey"], unique=[["n_nationkey"]], parents=[{"key": "n_regionkey", "table": "r", "parent": "r_regionkey", **modes}])
+    return s
+
+
+def rules_refuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks a rule leaves the table as it was; the code tells the rule."""
+    s, codes = _geography(spark, sf_dir), []
+    for text in (
+        "INSERT INTO t (n_nationkey, n_regionkey) VALUES (2000, 1)",
+        "INSERT INTO t (n_name, n_regionkey) VALUES ('X', 1)",
+        "INSERT INTO t (n_nationkey, n_regionkey) VALUES (3, 1)",
+        "UPDATE t SET n_regionkey = 99",
+        "DELETE FROM r WHERE r_regionkey = 1",
+        "INSERT INTO t (n_nationkey, n_regionkey) VALUES (100, 1)",
+    ):
+        try:
+            s.execute(text)
+            codes.append("done")
+        except DialectError as e:
+            codes.append(str(e.code))
+    return s.query("SELECT n_nationkey, n_name, n_regionkey FROM t").withColumn("codes", F.lit(" ".join(codes)))
+
+
+def links_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _geography(spark, sf_dir, delete="cascade", update="cascade")
+    s.execute("UPDATE r SET r_regionkey = r_regionkey + 100 WHERE r_regionkey >= 2")
+    s.execute("DELETE FROM r WHERE r_regionkey = 1 OR r_regionkey = 103")
+    return s.query("SELECT n_nationkey, n_regionkey FROM t")
+
+
 CODE = {
+    "rules_refuse": (rules_refuse, "SELECT *, '1582 1581 1884 1539 1539 done' AS codes FROM (SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'UNNAMED', 1)"),
+    "links_cascade": (links_cascade, "SELECT n_nationkey, CASE WHEN n_regionkey >= 2 THEN n_regionkey + 100 ELSE n_regionkey END AS n_regionkey FROM nation WHERE n_regionkey NOT IN (1, 3)"),
     "delete_current": (delete_current, "SELECT n_nationkey FROM nation WHERE n_nationkey <> 2"),
     "script_rollback": (script_rollback, "SELECT n_nationkey FROM nation WHERE n_nationkey <= 20"),
     "script_locate_replace": (script_locate_replace, "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS n_name FROM nation"),

@@ -287,6 +287,10 @@ class Session:
     def columns(self, table: str) -> list[tuple[str, str, bool]]:
         return [(f.name, f.dataType.simpleString(), f.nullable) for f in self.table(table).schema if f.name not in HIDDEN]
 
+    def set_rules(self, table: str, **rules) -> None:
+        """What every later change of a stored table must keep; kinds as in operators.rules."""
+        self.store.rule(table, **rules)
+
     def begin(self) -> None:
         self.store.begin()
 

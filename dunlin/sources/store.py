@@ -141,10 +141,22 @@ class Store:
         raise DialectError("the store is changed too often", 1585)
 
     def settle(self, name: str, table: dict | None, base: dict | None = None) -> None:
+        """A table's next version, once its rules hold, with the changes that they make in other tables."""
+        from dunlin.operators.rules import enforced
+
+        before = self.now().get(name)
+        changed: dict[str, dict | None] = {name: table}
+        if before is not None and table is not None:
+            try:
+                changed |= enforced(self, name, before, table)
+            except DialectError:
+                for p in set(table["parts"]) - set(before["parts"]):
+                    self.files.delete(f"{self.root}/{p}")
+                raise
         if self.base is not None:
-            self.pending[name] = table
+            self.pending |= changed
         else:
-            self.publish({name: table}, None if base is None else {name: base})
+            self.publish(changed, None if base is None else {name: base})
 
     def part(self, name: str, df: DataFrame) -> str:
         path = f"{name}/{uuid.uuid4().hex}"
@@ -178,29 +190,46 @@ class Store:
     def schema(self, name: str) -> T.StructType:
         return T.StructType([f for f in T.StructType.fromJson(self.table(name)["schema"]) if f.name not in HIDDEN])
 
-    def put(self, name: str, df: DataFrame) -> None:
-        """A table's rows anew; df has the hidden columns."""
+    def put(self, name: str, df: DataFrame, keep: bool = True) -> None:
+        """A table's rows anew, under its rules unless they are not kept; df has the hidden columns."""
         low = self.key(name)
-        self.settle(low, {"schema": df.schema.jsonValue(), "parts": [self.part(low, df)]})
+        old = self.now().get(low, {}) if keep else {}
+        kept = {"rules": old["rules"]} if "rules" in old else {}
+        self.settle(low, {"schema": df.schema.jsonValue(), "parts": [self.part(low, df)], **kept})
 
     def clear(self, name: str) -> None:
-        self.settle(self.key(name), {"schema": self.table(name)["schema"], "parts": []})
+        table = self.table(name)
+        self.settle(self.key(name), {**{k: v for k, v in table.items() if k != "last"}, "parts": []})
+
+    def rule(self, name: str, **rules) -> None:
+        """A table's rules, in place of those it had; its rows need not keep them."""
+        from dunlin.operators.rules import described
+
+        table = self.table(name)
+        after = {**table, "rules": described(self.schema(name).names, **rules)}
+        if self.base is not None:
+            self.pending[self.key(name)] = after
+        else:
+            self.publish({self.key(name): after}, {self.key(name): table})
 
-    def create(self, name: str, df: DataFrame) -> None:
+    def create(self, name: str, df: DataFrame, keep: bool = False) -> None:
         """A table of the rows of df, in its order."""
         out = numbered(df).withColumn(DELETED, F.lit(False))
-        self.put(name, out.select(*df.columns, RECNO, DELETED))
+        self.put(name, out.select(*df.columns, RECNO, DELETED), keep)
 
     def append(self, name: str, df: DataFrame, few: bool = False) -> int:
         """Adds rows with matching columns; missing ones are NULL. Only the new rows are read and written.
 
         few: the rows came from the driver, so one task may number and write them.
         """
+        from dunlin.operators.rules import defaults
+
         table, low = self.table(name), self.key(name)
         old = self.read(table)
         fields = [f for f in old.schema if f.name not in HIDDEN]
         have = {c.lower(): c for c in df.columns}
-        cols: list[Column] = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        blank = defaults(table.get("rules", {}), set(have))
+        cols: list[Column] = [(F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else blank.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in fields]
         last = table["last"] if "last" in table else old.agg(F.max(RECNO)).first()[0] or 0
         if few:
             new = df.select(*cols).coalesce(1).withColumn(RECNO, F.monotonically_increasing_id() + last + 1)

@@ -8,7 +8,6 @@ from dunlin.sources import dbf, export
 
 import pytest
 
-from dunlin.settings import DialectError
 
 COLUMNS = [("ID", "I", 4, 0), ("NAME", "C", 10, 0), ("AMT", "N", 9, 2), ("CNT", "N", 5, 0), ("D", "D", 8, 0), ("T", "T", 8, 0), ("F", "L", 1, 0), ("Y", "Y", 8, 0), ("B", "B", 8, 0), ("M", "M", 4, 0)]
 WHEN = dt.datetime(2020, 5, 6, 7, 8, 9)
@@ -73,13 +72,6 @@ def test_constraints(spark):
     df = spark.createDataFrame([(1, "a"), (3, "b"), (None, None)], "k int, n string")
     assert [r.k for r in stats.orphans(df, "k", parent, "k").collect()] == [3]
     assert stats.broken(df, "k < 3").count() == 2
-    stats.Rules({"n": "x"}, ["LEN(n) > 0"], [], [("k",)], []).check(stats.Rules({"n": "x"}, [], [], [], []).prepared(df))
-    for rules in (stats.Rules({}, ["k < 3"], [], [], []), stats.Rules({}, [], ["n"], [], []), stats.Rules({}, [], [], [("n",)], [])):
-        bad = df if not rules.unique else df.union(df)
-        with pytest.raises(DialectError):
-            rules.check(bad)
-    with pytest.raises(DialectError):
-        stats.Rules({}, [], [], [], [("k", parent, "k")]).check(df)
 
 
 def test_streaming_filter(spark, tmp_path):
