@@ -52,11 +52,26 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, survives lost executors.
+#: Documents for each file of a small table, see file_count().
+FILE_ROWS = 4096
+
+
+def file_count(spark: SparkSession, rows: int) -> int:
+    """Files that a table of so many documents is written to at most: two a core, more only by its size.
+
+    A local file costs three chmod processes (its folder, it and its checksum), which Hadoop starts from the
+    executor without its native library, and each shows the executor's memory a second time until it runs.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+
+
+def materialize(df: DataFrame, name: str, compression: str = "zstd", files: int | None = None) -> DataFrame:
+    """Write to the shared folder, to so many files at most, and read again: cuts lineage, survives lost executors.
 
     Spark removes the shuffle files of the write when it is done; nothing reads them later.
     """
+    if files:
+        df = df.coalesce(files)
     path, conf, clean = scratch_path(df.sparkSession, name), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = conf.get(clean, "false")
     conf.set(clean, "true")
@@ -165,23 +180,23 @@ def words(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tu
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def components(edges: DataFrame, name: str = "cc") -> DataFrame:
+def components(edges: DataFrame, name: str = "cc", files: int | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id that has an edge.
 
     Alternates linking each id's larger neighbours to its smallest and its smaller ones to its
     smallest (Kiveris and others, 2014) with hash-partitioned aggregations only; a hub's neighbours
-    are joined, never gathered in one row. Each round is a table in the shared folder.
+    are joined, never gathered in one row. Each round is a table of so many files at most in the shared folder.
     """
-    cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
+    cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name, files=files)
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialize(large.distinct(), name)
+        large = materialize(large.distinct(), name, files=files)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("u", "v", "m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        nxt = materialize(small.distinct(), name)
+        nxt = materialize(small.distinct(), name, files=files)
         discard(large)
         a = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         b = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dunlin.llm.common import LOWER, bounded_batches, components, discard, materialize, mix, span_hashes, text_slices, utf8, words
+from dunlin.llm.common import LOWER, bounded_batches, components, discard, file_count, materialize, mix, span_hashes, text_slices, utf8, words
 
 WORDS = 5
 PERCENT = 80
@@ -244,37 +244,38 @@ def grouped(docs: DataFrame, size: int, percent: int, id_col: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     source = docs.select(row_key(id_col).alias("id"), "text")
     drawn = materialize(sketches(source, size, "id"), "sketch", "lz4")
-    sets = materialize(drawn.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets")
+    files = file_count(docs.sparkSession, drawn.count())
+    sets = materialize(drawn.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.min_by("regs", "id").alias("regs")), "sets", files=files)
 
     rows = band_rows(percent)
     width = 2 * rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // rows - 1)), lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * width + 1, F.lit(width)))))
     bands = sets.select(band.alias("bucket"), "id")
     shared = bands.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(bands.join(shared, "bucket"), "members")
+    members = materialize(bands.join(shared, "bucket"), "members", files=files)
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     leaders = members.join(weight, "id").groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "id")).alias("top")).select("bucket", F.col("top.id").alias("leader"))
-    groups = materialize(members.select("bucket", "id").join(leaders, "bucket").select("leader", "id").where("leader <> id").distinct(), "groups")
+    groups = materialize(members.select("bucket", "id").join(leaders, "bucket").select("leader", "id").where("leader <> id").distinct(), "groups", files=files)
 
     own = sets.select("id", "n", "regs")
     first = groups.join(own, "id").select(F.col("id").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     first = first.join(own.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
-    first = materialize(_promising(first, percent), "pairs")
+    first = materialize(_promising(first, percent), "pairs", files=files)
     needed = groups.select("id").union(groups.select("leader")).distinct()
     # merged at every size, so that the plan does not change with the number of candidates
-    texts = materialize(source.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    linked = materialize(_verified(first, texts, size, percent), "linked")
+    texts = materialize(source.join(needed.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts", files=files)
+    linked = materialize(_verified(first, texts, size, percent), "linked", files=files)
 
     state = groups.join(linked.select(F.col("a").alias("id"), F.col("b").alias("leader"), F.lit(True).alias("linked")), ["leader", "id"], "left").na.fill({"linked": False})
     open_ = state.groupBy("leader").agg(F.count("*").alias("size"), F.min(F.col("linked").cast("int")).alias("all")).where("all = 0 and size > 1").select("leader", "size")
     rest = state.join(open_, "leader").join(own, "id").join(texts, "id")
     more = _in_blocks(rest, size, percent)
-    found = components(linked.union(more), "near")
+    found = components(linked.union(more), "near", files)
     discard(members)
 
     reps = sets.select("h1", "h2", "n", F.col("id").alias("rep"))
     out = drawn.select("id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component"))
+    return out.select("id", "n", F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component")).coalesce(files)
 
 
 def first_of_each(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id") -> DataFrame:

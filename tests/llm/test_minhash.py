@@ -1,10 +1,12 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 
 from dunlin.llm import minhash as M
+from dunlin.llm.common import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,3 +107,25 @@ def test_registers_estimate_jaccard():
     for r in M.registers(np.unique(M.mix(np.arange(100000, dtype=np.uint64)))).tolist():
         groups[r] += 1
     assert len(groups) > 150
+
+
+def test_small_tables_go_to_few_files(spark):
+    """However many partitions a shuffle has: each file of a small table costs processes in its executor."""
+    rows = corpus(4)
+    scratch = Path(shared_dir(spark).removeprefix("file://"), "dunlin")
+    before = set(scratch.glob("*"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("64", "false")):
+            spark.conf.set(k, v)
+        out = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()}
+        parts = out.rdd.getNumPartitions()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    written = {d.name.rpartition("-")[0]: len(list(d.glob("*.parquet"))) for d in set(scratch.glob("*")) - before}
+    assert found == brute(rows, 4, 80)
+    assert {"sets", "groups", "pairs", "texts", "linked", "near"} <= set(written)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert max(written.values()) <= most and parts <= most, (written, parts)
